@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality_rules, url_filter
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, url_filter
 from .common import table
 
 
@@ -41,7 +41,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-_WHITE = r"[ \t\n\x0b\x0c\r]"
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
 
 ORACLE = {
     "op1_url_filter": r"""
