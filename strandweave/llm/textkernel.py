@@ -22,6 +22,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _COEF = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+#: White space and ASCII punctuation: what separates bare words.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[[i for i in range(128) if not chr(i).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64)
@@ -86,9 +89,9 @@ class Words:
     first: np.ndarray
 
 
-def words(t: Texts, lower: bool = False) -> Words:
+def words(t: Texts, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
     data = _LOWER[t.data] if lower else t.data
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     n = len(data)
     opens, closes = solid.copy(), solid.copy()
     edge = t.bounds[1:-1]
@@ -136,6 +139,6 @@ def shingle_sets(t: Texts, k: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.unique(hashed[cut[i] : cut[i + 1]])
         elif w.first[i + 1] > w.first[i]:
             own = w.hash[w.first[i] : w.first[i + 1]]
-            yield mix((own * _COEF[: len(own)]).sum(keepdims=True, dtype=np.uint64) + _COEF[k] * np.uint64(len(own)))
+            yield mix((own * _COEF[: len(own)]).sum(keepdims=True, dtype=np.uint64) + _COEF[k:] * np.uint64(len(own)))
         else:
             yield np.zeros(0, np.uint64)
