@@ -5,10 +5,9 @@ its bin, the least hash of a bin its signature value. An empty bin takes the
 value of the first non-empty bin in an order of its own. Bands of values are
 buckets. Equal sets are one node. In each bucket every member is compared with
 the bucket's hub only (a star). Where that leaves a bucket in several classes,
-further members act as hubs, twice as many each round, against members of other
-classes: a pair is compared unless it is already connected, so no link between
-classes that share a bucket is lost. All compared pairs are confirmed on full
-shingle sets.
+the members outside the hub's class are compared with all others in blocks: a
+pair that shares a bucket is compared unless it is already connected, so no link
+is lost there, and no pair is a row. All comparisons are of full shingle sets.
 
 With 32 bands of 4 values a pair of similarity 0.75 shares no bucket with
 probability (1 - 0.75**4)**32 = 5e-6, one of 0.8 with 5e-8.
@@ -23,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import fresh, materialise, maybe_broadcast
 from .components import components
@@ -35,6 +33,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Members compared with one copy of a hub's text in one task.
 STAR = 256
+#: Shingles of a block of members outside a hub's class, and of a block of all members: what a task holds.
+OUTER_SHINGLES, INNER_SHINGLES = 250_000, 1_000_000
 #: Ids that may be broadcast to pick candidate texts.
 PICK_ROWS = 300_000
 
@@ -158,32 +158,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.filter((F.col("rep") != F.col("hub.rep")) & _alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     done = compare(pairs, texts)
     links = done.filter("linked").select("a", "b")
-    # An id on several sets is one document.
     labels = components(links)
-    members, low = members.select("key", "rep", "n"), 1
-    ranked = False
-    while True:
-        members = _undecided(members, labels)
-        if members.isEmpty():
-            break
-        if not ranked:
-            members = materialise(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1), "ranked")
-            ranked = True
-        high = 2 * low + 1
-        hubs = members.filter(F.col("rank") < high).select(F.col("key").alias("x"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("rank").alias("ar"))
-        pairs = (
-            hubs.join(members, F.col("x") == F.col("key"))
-            .filter((F.col("rank") > F.col("ar")) & (F.col("label") != F.col("al")) & _alike(F.col("n"), F.col("an")))
-            .select("a", F.col("rep").alias("b"))
-            .distinct()
-            .join(done.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        more = compare(pairs, texts)
-        done = done.unionByName(more)
-        links = more.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links))
-        members, low = members.filter(F.col("rank") >= high).drop("label"), high
+    more = compare_blocks(_undecided(members, labels), texts)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more))
     classes = (
         nodes.join(labels, F.col("rep") == F.col("node"), "left")
         .filter((F.col("copies") > 1) | F.col("label").isNotNull())
@@ -195,11 +173,111 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes, with their label."""
-    labelled = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-    labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("x"))
-    return materialise(labelled.join(mixed, F.col("key") == F.col("x"), "left_semi"), "undecided")
+    """hub, id, n, label, outside: members of buckets where two that aren't the hub are in different classes.
+
+    The hub itself has been compared with all. outside: in another class than
+    the hub. A hub's buckets make one group.
+    """
+    named = members.select("key", "rep", "n", F.col("hub.rep").alias("hub")).join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+    own = F.max(F.when(F.col("rep") == F.col("hub"), F.col("label")))
+    rest = F.when(F.col("rep") != F.col("hub"), F.col("label"))
+    named = materialise(named, "labelled")
+    mixed = named.groupBy("key").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), own.alias("own")).filter("lo <> hi").select(F.col("key").alias("x"), "own")
+    rows = named.filter(F.col("rep") != F.col("hub")).join(mixed, F.col("key") == F.col("x"))
+    return materialise(rows.groupBy("hub", F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first(F.col("label") != F.col("own")).alias("outside")), "undecided")
+
+
+def compare_blocks(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """groups (hub, id, n, label, outside) -> a, b: links between members of one group in different classes.
+
+    Members outside the hub's class are compared with all members. Both sides
+    are dealt by hash into blocks of bounded shingle counts, and a task holds
+    one block of each: no pair is a row. What comes out are stars, at most a row
+    for each member and block.
+    """
+    total = groups.groupBy(F.col("hub").alias("h")).agg(
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / OUTER_SHINGLES).cast("int").alias("outer"), F.ceil(F.sum("n") / INNER_SHINGLES).cast("int").alias("inner")
+    ).filter("outer is not null")
+    dealt = groups.join(total, F.col("hub") == F.col("h"))
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outer = dealt.filter("outside").select("hub", block(1, "outer").alias("i"), F.explode(upto("inner")).alias("j"), F.lit(0).alias("role"), "id", "label")
+    inner = dealt.select("hub", F.explode(upto("outer")).alias("i"), block(2, "inner").alias("j"), F.lit(1).alias("role"), "id", "label")
+    rows = materialise(outer.unionByName(inner), "blocks")
+    n = rows.count()
+    ids = rows.select(F.col("id").alias("doc_id")).distinct()
+    texts = texts.filter(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if n <= PICK_ROWS else ids, "doc_id", "left_semi")
+    full = texts.join(rows, F.col("doc_id") == F.col("id")).select("hub", "i", "j", "role", "id", "label", "text")
+    tiles = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "role", "id")
+    return materialise(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "block-links")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles (hub, i, j) in order, outer members first -> star edges of each tile."""
+    now: tuple | None = None
+    sides: tuple[list, list] = ([], [])
+    found: list[tuple[int, int]] = []
+    for batch in batches:
+        keys = list(zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True))
+        for t in slices(batch.column(6)):
+            for r, s in enumerate(shingle_sets(t), t.first):
+                if keys[r][:3] != now:
+                    found += _tile_stars(*sides)
+                    now, sides = keys[r][:3], ([], [])
+                sides[keys[r][3]].append((keys[r][4], keys[r][5], s))
+        yield _edges(found)
+        found = []
+    yield _edges(_tile_stars(*sides))
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+
+
+def _tile_stars(outer: list, inner: list) -> list[tuple[int, int]]:
+    """(root, member) of what links connect within a tile. Each side: (id, label, set)."""
+    if not outer or not inner:
+        return []
+    linked = _similar_matrix([x[2] for x in outer], [x[2] for x in inner])
+    a, b = (np.array([x[0] for x in side], np.int64) for side in (outer, inner))
+    linked &= np.array([x[1] for x in outer])[:, None] != np.array([x[1] for x in inner])[None, :]
+    if not linked.any():
+        return []
+    most = np.iinfo(np.int64).max
+    la, lb = a.copy(), b.copy()
+    while True:
+        na = np.minimum(la, np.where(linked, lb[None, :], most).min(axis=1))
+        nb = np.minimum(lb, np.where(linked, na[:, None], most).min(axis=0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    return sorted({(int(r), int(x)) for r, x in zip(np.append(la, lb), np.append(a, b), strict=True) if r != x})
+
+
+def _similar_matrix(x: list[np.ndarray], y: list[np.ndarray], percent: int = PERCENT, width: int = 4096) -> np.ndarray:
+    """Which sets of x and y are similar: sizes of intersections as products of incidence matrices, some columns at a time."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    common = np.zeros((len(x), len(y)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        ok = shared[at] == flat
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    if len(shared):
+        (rx, cx), (ry, cy) = places(x), places(y)
+        for lo in range(0, len(shared), width):
+            part = []
+            for n, row, col in ((len(x), rx, cx), (len(y), ry, cy)):
+                a, b = np.searchsorted(col, (lo, lo + width))
+                m = np.zeros((n, min(width, len(shared) - lo)), np.float32)
+                m[row[a:b], col[a:b] - lo] = 1
+                part.append(m)
+            common += part[0] @ part[1].T
+    nx, ny = (np.array([len(s) for s in side], np.float32) for side in (x, y))
+    return (common > 0) & (100 * common >= percent * (nx[:, None] + ny[None, :] - common))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
