@@ -66,6 +66,11 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("c_custkey").alias("payload_id"), F.lit(0).alias("strand_idx"), F.lit(0).alias("copy_no"), nt.bytes_to_dna(F.encode(F.col("c_name"), "UTF-8")).alias("dna"))
 
 
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").filter("text <> ''")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.encode(F.col("text"), "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part")
     return t.select(F.col("p_partkey").alias("read_id"), nt.bytes_to_dna(F.encode(F.concat_ws(" ", "p_name", "p_type"), "UTF-8")).alias("seq"))
@@ -105,6 +110,7 @@ PARTS = f"(SELECT p_partkey AS read_id, {dna_of(chr(39).join(['p_name || ', ' ',
 TURNS = f"(SELECT conv_id * 1000 + turn AS read_id, {dna_of('text')} AS seq FROM conversations)"
 LINES = "(SELECT l_orderkey AS payload_id, l_linenumber AS strand_idx, l_returnflag, {} AS dna FROM lineitem)".format(dna_of("concat_ws('|', l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag, l_linestatus)"))
 DOCS = "(SELECT doc_id AS payload_id, text FROM documents WHERE text IS NOT NULL)"
+TALKS = "(SELECT conv_id * 1000 + turn AS payload_id, text FROM conversations WHERE text <> '')"
 
 
 def gc_of(s: str) -> str:
@@ -136,7 +142,7 @@ def base_counters(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", bits.digits(k, 3, 8).alias("trits"), bits.digits(k, 4, 6).alias("quads"), bits.digits(k, 2, 10).alias("bits"))
 
 
-@query("SELECT sum(length(encode(text)))::BIGINT AS total_bytes FROM " + DOCS)
+@query("SELECT sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM " + DOCS)
 def total_bytes(spark, d):
     return files.total_bytes(documents(spark, d))
 
@@ -168,7 +174,7 @@ def primer_checks(spark, d):
     return parts(spark, d).select("read_id", nt.melting_point(s).alias("melting"), nt.stable_end(s).alias("stable_end"), nt.canonical(s).alias("canonical"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, length(encode(text)) AS packed_bytes FROM {DOCS}")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, octet_length(encode(text)) AS packed_bytes FROM {DOCS}")
 def dna_pack_unpack(spark, d):
     s = documents(spark, d).select("payload_id", nt.bytes_to_dna(F.col("content"), nt.PACKED).alias("dna"))
     p = s.select("payload_id", "dna", nt.pack(F.col("dna")).alias("packed"))
@@ -212,47 +218,47 @@ def dna_encode_max_density(spark, d):
     return codecs.encode_max_density(documents(spark, d), PLAN)
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, (4 * length(encode(text)) + {PLAN.message - 1}) // {PLAN.message} AS n_strands, 0::BIGINT AS n_missing FROM {DOCS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, (4 * octet_length(encode(text)) + {PLAN.message - 1}) // {PLAN.message} AS n_strands, 0::BIGINT AS n_missing FROM {DOCS} WHERE text <> ''")
 def dna_decode_max_density(spark, d):
     back = codecs.decode_max_density(codecs.encode_max_density(documents(spark, d), PLAN), PLAN)
     return back.select("payload_id", F.md5("content").alias("bytes_md5"), "n_strands", "n_missing")
 
 
 @query(f"""
-WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {DOCS}),
+WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {TALKS}),
 cut AS (SELECT payload_id, i AS strand_idx, substr(b, (i * {FLAT.payload_bits} + 1)::BIGINT, {FLAT.payload_bits}) AS part FROM s, range(0, (length(b) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits}) r(i)),
 w AS (SELECT payload_id, strand_idx, {digits_of('strand_idx', 2, FLAT.barcode)} || {digits_of(f'CASE WHEN length(part) < {FLAT.payload_bits} THEN length(part) ELSE 0 END', 2, FLAT.header)} || lpad(part, {FLAT.payload_bits}, '0') AS w FROM cut)
 SELECT payload_id, strand_idx, array_to_string(list_transform(range(1, length(w) + 1), lambda i: substr('TGCA', 1 + (substr(w, i, 1) = '1')::INT + 2 * ((i - 1) % 2)::INT, 1)), '') AS dna FROM w""")
 def dna_encode_no_homopolymer(spark, d):
-    return codecs.encode_no_homopolymer(documents(spark, d), FLAT)
+    return codecs.encode_no_homopolymer(talks(spark, d), FLAT)
 
 
-@query(f"SELECT payload_id, CASE WHEN (8 * length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode} THEN md5(text) END AS bytes_md5 FROM {DOCS} WHERE text <> '' AND (8 * length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode}")
+@query(f"SELECT payload_id, CASE WHEN (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode} THEN md5(text) END AS bytes_md5 FROM {TALKS} WHERE text <> '' AND (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode}")
 def dna_decode_no_homopolymer(spark, d):
     """Contents whose ordinals fit the barcode."""
-    fit = documents(spark, d).filter(F.ceil(F.col("n_bytes") * 8 / FLAT.payload_bits) <= 2**FLAT.barcode)
+    fit = talks(spark, d).filter(F.ceil(F.col("n_bytes") * 8 / FLAT.payload_bits) <= 2**FLAT.barcode)
     return codecs.decode_no_homopolymer(codecs.encode_no_homopolymer(fit, FLAT), FLAT).select("payload_id", F.md5("content").alias("bytes_md5"))
 
 
 _K = CHURCH["capacity"] - CHURCH["index_bits"]
 _SEG = f"""
-WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {DOCS}),
+WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {TALKS}),
 cut AS (SELECT payload_id, i, rpad(substr(b, (i * {_K} + 1)::BIGINT, {_K}), {_K}, '0') AS part FROM s, range(0, (length(b) + {_K - 1}) // {_K}) r(i))
 """
 
 
 @query(_SEG + f", w AS (SELECT payload_id, i AS strand_idx, {digits_of('i', 2, CHURCH['index_bits'])} || part AS b FROM cut) SELECT payload_id, strand_idx, translate(regexp_replace(regexp_replace(b, '{'0' * (RUN + 1)}', '{'A' * RUN}C', 'g'), '{'1' * (RUN + 1)}', '{'G' * RUN}T', 'g'), '01', 'AG') AS dna FROM w")
 def dna_encode_church(spark, d):
-    return codecs.encode_church(documents(spark, d), run=RUN, **CHURCH)
+    return codecs.encode_church(talks(spark, d), run=RUN, **CHURCH)
 
 
 def _sizes(payload: DataFrame) -> DataFrame:
     return payload.filter(F.octet_length("content") > 0).select("payload_id", (F.octet_length("content") * 8).alias("n_bits"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost, 0::BIGINT AS n_repaired FROM {DOCS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost, 0::BIGINT AS n_repaired FROM {TALKS} WHERE text <> ''")
 def dna_decode_church(spark, d):
-    p = documents(spark, d)
+    p = talks(spark, d)
     back = codecs.decode_church(codecs.encode_church(p, run=RUN, **CHURCH), _sizes(p), CHURCH["index_bits"])
     return back.select("payload_id", F.md5("content").alias("bytes_md5"), "n_lost", "n_repaired")
 
@@ -263,14 +269,14 @@ UNION ALL
 SELECT payload_id, (i // 2 * 3 + 2)::BIGINT, CASE WHEN count(*) = 1 THEN min(part) ELSE array_to_string(list_transform(range(1, {_K} + 1), lambda j: CASE WHEN substr(min(part), j, 1) = substr(max(part), j, 1) THEN '0' ELSE '1' END), '') END
 FROM cut GROUP BY payload_id, i // 2""")
 def segment_redundancy_xor(spark, d):
-    s = codecs.segments(documents(spark, d), CHURCH["capacity"], CHURCH["index_bits"], True)
+    s = codecs.segments(talks(spark, d), CHURCH["capacity"], CHURCH["index_bits"], True)
     return s.select("payload_id", "seg_idx", F.substring("bits", CHURCH["index_bits"] + 1, _K).alias("part"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost FROM {DOCS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost FROM {TALKS} WHERE text <> ''")
 def segment_repair(spark, d):
     """One segment of each triple lost, by hash; all are rebuilt."""
-    p = documents(spark, d)
+    p = talks(spark, d)
     s = codecs.segments(p, CHURCH["capacity"], CHURCH["index_bits"], True)
     gone = F.pmod(F.xxhash64("payload_id", F.floor(F.col("seg_idx") / 3)), F.lit(3)) == F.col("seg_idx") % 3
     whole = F.max("seg_idx").over(Window.partitionBy("payload_id"))
@@ -289,17 +295,13 @@ w AS (SELECT payload_id, i AS strand_idx, {digits_of('i', 3, 10)} || rpad(substr
 p AS (SELECT payload_id, strand_idx, j, sum(substr(w, j, 1)::INT + 1) OVER (PARTITION BY payload_id, strand_idx ORDER BY j) % 4 AS s FROM w, range(1, 111) q(j))
 SELECT payload_id, strand_idx, string_agg(substr('ACGT', (s + 1)::BIGINT, 1), '' ORDER BY j) AS dna FROM p GROUP BY payload_id, strand_idx""")
 def dna_encode_goldman(spark, d):
-    return codecs.encode_goldman(_turn_payloads(spark, d))
-
-
-def _turn_payloads(spark, d):
-    return table(spark, d, "conversations").filter("text <> ''").select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.encode(F.col("text"), "UTF-8").alias("content"))
+    return codecs.encode_goldman(talks(spark, d))
 
 
 @query("SELECT conv_id * 1000 + turn AS payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_quarters_lost FROM conversations WHERE text <> ''")
 def dna_decode_goldman(spark, d):
     """A quarter of the strands, chosen by hash, is lost; overlaps make up for what they can. Here the strands that each quarter needs stay."""
-    p = _turn_payloads(spark, d)
+    p = talks(spark, d)
     s = codecs.encode_goldman(p)
     last = F.max("strand_idx").over(Window.partitionBy("payload_id"))
     kept = s.withColumn("last", last).filter((F.col("strand_idx") % 4 != 2) | (F.col("strand_idx") < 3) | (F.col("strand_idx") > F.col("last") - 3))
@@ -307,10 +309,10 @@ def dna_decode_goldman(spark, d):
     return codecs.decode_goldman(kept.drop("last"), sizes).select("payload_id", F.md5("content").alias("bytes_md5"), "n_quarters_lost")
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, true AS ok FROM {DOCS}")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, true AS ok FROM {TALKS}")
 def roundtrip_rs(spark, d):
     """Bytes with 20 parities a word, one byte in every 40 flipped (at most ten errors a word), restored."""
-    coded = reed_solomon.protect_column(documents(spark, d), 20)
+    coded = reed_solomon.protect_column(talks(spark, d), 20)
     h = F.hex("coded")
     n = F.octet_length("coded")
     hit = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), 2 * n, F.lit(80))).otherwise(F.array().cast("array<int>")), h, lambda s, i: F.overlay(s, F.when(F.substring(s, i, F.lit(1)) == "F", "0").otherwise("F"), i, F.lit(1)))
@@ -318,10 +320,10 @@ def roundtrip_rs(spark, d):
     return back.select("payload_id", F.md5("decoded.content").alias("bytes_md5"), F.col("decoded.ok").alias("ok"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5 FROM {DOCS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5 FROM {TALKS}")
 def roundtrip_lt(spark, d):
     """Rows of 64 bytes as fountain symbols, some lost; what peeling finds is compared."""
-    p = documents(spark, d).filter("n_bytes > 0")
+    p = talks(spark, d)
     h = F.hex("content")
     rows = p.select("payload_id", "n_bytes", F.posexplode(bits.pieces(h, 128)).alias("row", "h")).select("payload_id", "n_bytes", "row", F.unhex(F.rpad("h", 128, "0")).alias("data"))
     symbols = fountain.encode_payloads(rows.drop("n_bytes"), overhead=3.0, seed=9)
@@ -332,19 +334,19 @@ def roundtrip_lt(spark, d):
 
 @query("SELECT conv_id * 1000 + turn AS payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost FROM conversations WHERE text <> ''")
 def roundtrip_wukong(spark, d):
-    p = _turn_payloads(spark, d)
+    p = talks(spark, d)
     back = wukong.decode(wukong.encode(p), _sizes(p))
     return back.select("payload_id", F.md5("content").alias("bytes_md5"), "n_lost")
 
 
 def _gc_blocks(spark, d):
-    return gcplus.encode(_turn_payloads(spark, d))
+    return gcplus.encode(talks(spark, d))
 
 
 @query("""SELECT conv_id * 1000 + turn AS payload_id, md5(text) AS bytes_md5, true AS ok FROM conversations WHERE text <> ''""")
 def roundtrip_gcplus(spark, d):
     """Every strand loses one base of its payload part; all decode."""
-    p = _turn_payloads(spark, d)
+    p = talks(spark, d)
     at = (F.pmod(F.xxhash64("payload_id", "strand_idx"), F.lit(90)) + 1).cast("int")
     damaged = _gc_blocks(spark, d).withColumn("dna", F.concat(F.substring(F.col("dna"), F.lit(1), at - 1), F.substring(F.col("dna"), at + 1, F.lit(gcplus.LENGTH))))
     back = gcplus.decode(damaged).groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("strand_idx", F.hex("block").alias("h")))), lambda x: x["h"]), "").alias("h"), F.min("ok").alias("ok"))
@@ -796,7 +798,7 @@ def success_rate_cube(spark, d):
 
 
 @query(f"""
-SELECT p_partkey AS payload_id, CASE WHEN p_name = p_type THEN 'SUCCESS' WHEN length(encode(p_type)) < length(encode(p_name)) THEN 'ERROR_short' WHEN length(encode(p_type)) > length(encode(p_name)) THEN 'ERROR_long' ELSE 'ERROR' END AS status,
+SELECT p_partkey AS payload_id, CASE WHEN p_name = p_type THEN 'SUCCESS' WHEN octet_length(encode(p_type)) < octet_length(encode(p_name)) THEN 'ERROR_short' WHEN octet_length(encode(p_type)) > octet_length(encode(p_name)) THEN 'ERROR_long' ELSE 'ERROR' END AS status,
        CASE WHEN p_name = p_type THEN 0 ELSE (SELECT count(*) FROM range(1, least(length(p_name), length(p_type)) + 1) r(i) WHERE substr(p_name, i, 1) <> substr(p_type, i, 1)) END AS n_diff FROM part""")
 def compare_status(spark, d):
     t = table(spark, d, "part")

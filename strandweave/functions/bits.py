@@ -55,13 +55,12 @@ def convert_base(s: Column, base_from: int, base_to: int) -> Column:
 
 
 def pieces(s: Column, k: int) -> Column:
-    """Consecutive pieces of k characters, the last may be shorter; none of an empty string."""
+    """Consecutive pieces of k characters, the last may be shorter; none of an empty string. One pass: a substring per piece would scan from the start."""
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{k}}}"), F.lit(0))
 
-    def cut(t: Column) -> Column:
-        n = F.char_length(t)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n, F.lit(k)), lambda i: F.substring(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    return let(s, cut)
+def chars(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
 
 
 def alternating_pieces(s: Column, a: int, b: int) -> Column:
@@ -81,20 +80,15 @@ def split_at(s: Column, n: int) -> Column:
 
 def xor(a: Column, b: Column) -> Column:
     """Bitwise difference of two bit strings of one length."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, "0").otherwise("1"))
-    return F.when(F.char_length(a) > 0, F.array_join(same, "")).otherwise(F.lit(""))
+    return F.array_join(F.zip_with(chars(a), chars(b), lambda x, y: F.when(x == y, "0").otherwise("1")), "")
 
 
 def diff_positions(a: Column, b: Column) -> Column:
     """Positions from 0 at which the common prefix length of two strings differs."""
 
-
-    def differ(x: Column, y: Column) -> Column:
-        n = F.least(F.char_length(x), F.char_length(y))
-        places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-        return F.when(n > 0, F.transform(places, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
-
-    return let(F.struct(a.alias("x"), b.alias("y")), lambda p: differ(p["x"], p["y"]))
+    differ = F.zip_with(chars(a), chars(b), lambda x, y: x.isNotNull() & y.isNotNull() & (x != y))
+    marked = F.transform(differ, lambda d, i: F.when(d, i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
 
 def hamming(a: Column, b: Column) -> Column:

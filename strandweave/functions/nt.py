@@ -112,12 +112,8 @@ def unpack(packed: Column, length: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-
-    def cut(t: Column) -> Column:
-        n = F.char_length(t)
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    return let(s, cut)
+    """All overlapping pieces of k bases, in order, in one pass."""
+    return F.regexp_extract_all(s, F.lit(f"(?=([ACGTN]{{{k}}}))"), F.lit(1))
 
 
 def alternating(bits: Column, codes: tuple[str, str] = ("TG", "CA")) -> Column:

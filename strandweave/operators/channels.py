@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rng
+from ..functions import bits, rng
 
 BASES = "ACGT"
 #: Decay per base and year. Fixed values.
@@ -62,8 +62,7 @@ def random_storage(reads: DataFrame, seed: int = 0, per: int = 460) -> DataFrame
 
 def _per_base(seq: Column, change: Callable[[Column, Column], Column]) -> Column:
     """Each base by change(base, position from 1); no bases, no change."""
-    out = F.transform(F.sequence(F.lit(1), F.char_length(seq)), lambda i: change(F.substring(seq, i, F.lit(1)), i))
-    return F.when(F.char_length(seq) > 0, F.array_join(out, "")).otherwise(seq)
+    return F.array_join(F.transform(bits.chars(seq), lambda b, i: change(b, i + 1)), "")
 
 
 def substitute_iid(reads: DataFrame, rate: float, seed: int = 0, distinct: bool = False, exact: bool = True) -> DataFrame:
@@ -84,9 +83,7 @@ def substitute_iid(reads: DataFrame, rate: float, seed: int = 0, distinct: bool
         return F.when(draw("hit", i) < rate, new).otherwise(base)
 
     changed = reads.withColumn("read", _per_base(F.col("dna"), change))
-    n = F.char_length("dna")
-    differ = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.substring("dna", i, F.lit(1)) != F.substring("read", i, F.lit(1))))).otherwise(F.lit(0))
-    return changed.withColumn("n_changed", differ)
+    return changed.withColumn("n_changed", F.size(bits.diff_positions(F.col("dna"), F.col("read"))))
 
 
 def substitute_by_position(reads: DataFrame, stay: float, seed: int = 0, slope: float = 0.01, compat_c: bool = False) -> DataFrame:

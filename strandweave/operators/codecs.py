@@ -125,12 +125,16 @@ def repair_segments(found: DataFrame, sizes: DataFrame, index_bits: int, redunda
         a, b, p = (F.try_element_at("has", F.lit(r)) for r in range(3))
         first, second = F.coalesce(a, bits.xor(b, p)), F.coalesce(b, bits.xor(a, p))
         repaired = F.when(a.isNull() & first.isNotNull(), 1).otherwise(0) + F.when(b.isNull() & second.isNotNull(), 1).otherwise(0)
-        group = group.select("payload_id", F.explode(F.array(F.struct((F.col("g") * 2).alias("i"), first.alias("part"), repaired.alias("r")), F.struct((F.col("g") * 2 + 1).alias("i"), second.alias("part"), F.lit(0).alias("r")))).alias("x")).select("payload_id", "x.*")
+        group = group.select("payload_id", F.explode(F.array(F.struct((F.col("g") * 2).alias("i"), first.alias("part"), repaired.alias("r"), p.alias("lone")), F.struct((F.col("g") * 2 + 1).alias("i"), second.alias("part"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("lone")))).alias("x")).select("payload_id", "x.*")
     else:
-        group = group.select("payload_id", F.col("g").alias("i"), F.try_element_at("has", F.lit(0)).alias("part"), F.lit(0).alias("r"))
+        group = group.select("payload_id", F.col("g").alias("i"), F.try_element_at("has", F.lit(0)).alias("part"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("lone"))
     width = one.agg(F.max(F.char_length("part")).alias("k"))
     wanted = sizes.join(F.broadcast(width), F.lit(True)).select("payload_id", "n_bits", "k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_bits") / F.col("k")).cast("int") - 1)).alias("i"))
-    all_ = wanted.join(group.withColumnRenamed("payload_id", "pid"), (F.col("payload_id") == F.col("pid")) & (wanted["i"] == group["i"]), "left").select("payload_id", "n_bits", wanted["i"], F.coalesce("part", F.expr("repeat('0', k)")).alias("part"), F.col("part").isNull().cast("int").alias("lost"), F.coalesce("r", F.lit(0)).alias("r"))
+    # The last segment of an odd number is its own parity.
+    alone = (wanted["i"] % 2 == 0) & (wanted["i"] == F.ceil(F.col("n_bits") / F.col("k")) - 1)
+    part = F.coalesce("part", F.when(alone, F.col("lone")))
+    joined = wanted.join(group.withColumnRenamed("payload_id", "pid"), (F.col("payload_id") == F.col("pid")) & (wanted["i"] == group["i"]), "left")
+    all_ = joined.select("payload_id", "n_bits", wanted["i"], F.coalesce(part, F.expr("repeat('0', k)")).alias("part"), part.isNull().cast("int").alias("lost"), (F.coalesce("r", F.lit(0)) + (F.col("part").isNull() & part.isNotNull()).cast("int")).alias("r"))
     parts = F.array_sort(F.collect_list(F.struct("i", "part")))
     return all_.groupBy("payload_id").agg(
         F.left(F.array_join(F.transform(parts, lambda x: x["part"]), ""), F.max("n_bits").cast("int")).alias("bits"), F.sum("lost").alias("n_lost"), F.sum("r").alias("n_repaired")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import nt
+from ..functions import bits, nt
 
 #: Error probability of homopolymer runs by length; longer runs are certain. Fixed values.
 RUN_PROB = {3: 0.3, 4: 0.6, 5: 0.9}
@@ -32,9 +32,7 @@ def gc_error(gc: Column) -> Column:
 
 def gc_windows(reads: DataFrame, width: int, seq: str = "seq") -> DataFrame:
     """Tumbling windows over positions: read_id, startpos, endpos, gc, errorprob."""
-    n = F.char_length(seq)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-    w = reads.select("read_id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("startpos"), F.substring(F.col(seq), i + 1, F.lit(width)).alias("w")))).alias("x")).select("read_id", "x.*")
+    w = reads.select("read_id", F.posexplode(bits.pieces(F.col(seq), width)).alias("i", "w")).select("read_id", (F.col("i") * width).alias("startpos"), "w")
     gc = nt.gc_fraction(F.col("w"))
     return w.select("read_id", "startpos", (F.col("startpos") + F.char_length("w") - 1).alias("endpos"), gc.alias("gc"), gc_error(gc).alias("errorprob"))
 
