@@ -117,7 +117,7 @@ def pair(a: Oligo, b: Oligo) -> Oligo | None:
 def hybridise(pools: DataFrame, steps: int, seed: int = 0) -> DataFrame:
     """pools (pool_id, fwd, rev, n) -> pool_id, fwd, rev, n after `steps` random meetings; sequential within a pool."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         r = random.Random(f"{seed}|{key[0].as_py()}")
         rows = sorted((tuple(x["fwd"]), tuple(x["rev"])) for x in table.to_pylist() for _ in range(x["n"]))
         for _ in range(steps):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codecs import repair_segments, segments
 from ..functions import bits
+from .codecs import repair_segments, segments
 
 PARTNERS, ATTEMPTS = 30, 200
 SHUFFLE_SEED = 27
@@ -100,7 +101,7 @@ def encode(payload: DataFrame, capacity: int = 200, index_bits: int = 16, number
     """payload -> payload_id, strand_idx, dna. Indexes keep their top bit for virtual segments. A payload's segments meet in one group: cut very large payloads."""
     segs = segments(payload, capacity, index_bits, redundancy)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = table.sort_by("seg_idx")["bits"].to_pylist()
         strands = _pair_up(rows, index_bits, number, max_run, gc, seed)
         return pa.table({"payload_id": pa.array([key[0].as_py()] * len(strands), pa.int64()), "strand_idx": pa.array(np.arange(len(strands)), pa.int32()), "dna": pa.array(strands)})
@@ -111,7 +112,7 @@ def encode(payload: DataFrame, capacity: int = 200, index_bits: int = 16, number
 def decode(strand: DataFrame, sizes: DataFrame, index_bits: int = 16, number: int = 1, redundancy: bool = True) -> DataFrame:
     """strand (payload_id, dna), sizes (payload_id, n_bits) -> payload_id, content, n_lost, n_repaired. Virtual segments go by their index."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array([list(separate(x or "", number) or ()) for x in column.to_pylist()], pa.list_(pa.string()))
 

@@ -97,7 +97,7 @@ def read_positional_library(spark: SparkSession, path: str, sections: tuple[str,
 def archive(payload: DataFrame, group: str = "archive_id", level: int = 9) -> DataFrame:
     """payload with a group column -> group, content: tar.gz of each group's files in order of name, times fixed at 0."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         raw = io.BytesIO()
         with gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=level, mtime=0) as z, tarfile.open(fileobj=z, mode="w") as tar:
             for r in sorted(table.select(["name", "content"]).to_pylist(), key=lambda x: x["name"]):
@@ -106,7 +106,7 @@ def archive(payload: DataFrame, group: str = "archive_id", level: int = 9) -> Da
                 tar.addfile(info, io.BytesIO(r["content"]))
         return pa.table({group: pa.array([key[0].as_py()], pa.int64()), "content": pa.array([raw.getvalue()], pa.binary())})
 
-    return payload.groupBy(F.col(group).cast("long").alias(group)).applyInArrow(run, f"{group} long, content binary")
+    return payload.select(F.col(group).cast("long").alias(group), "name", "content").groupBy(group).applyInArrow(run, f"{group} long, content binary")
 
 
 def unarchive(archives: DataFrame, group: str = "archive_id") -> DataFrame:
