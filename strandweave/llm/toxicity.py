@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_row
     n = known.count()
     if n > sample_rows:
         known = known.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    sample = docs.join(F.broadcast(known), F.col("doc_id") == F.col("k")).select("doc_id", "y", F.arrow_udf(_featured, "array<int>")(F.col("text")).alias("b"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("k")).select("doc_id", "y", F.arrow_udf(_featured, "array<int>")(F.col("text")).alias("b"))
     sample = materialise(sample, "toxic-sample")
     total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
     pos, neg = total["pos"] or 0, total["n"] - (total["pos"] or 0)
