@@ -81,6 +81,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), nt.bytes_to_dna(F.encode(F.col("text"), "UTF-8")).alias("seq"))
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), nt.bytes_to_dna(F.encode(F.col("text"), "UTF-8")).alias("seq"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as strands, a price's digits long."""
     t = table(spark, sf_dir, "lineitem")
@@ -108,6 +112,7 @@ def digits_of(n: str, base: int, width: int) -> str:
 CUSTOMERS = f"(SELECT c_custkey AS payload_id, 0 AS strand_idx, 0 AS copy_no, {dna_of('c_name')} AS dna FROM customer)"
 PARTS = f"(SELECT p_partkey AS read_id, {dna_of(chr(39).join(['p_name || ', ' ', ' || p_type']))} AS seq FROM part)"
 TURNS = f"(SELECT conv_id * 1000 + turn AS read_id, {dna_of('text')} AS seq FROM conversations)"
+ITEMS = f"(SELECT item_id AS read_id, {dna_of('text')} AS seq FROM benchmark)"
 LINES = "(SELECT l_orderkey AS payload_id, l_linenumber AS strand_idx, l_returnflag, {} AS dna FROM lineitem)".format(dna_of("concat_ws('|', l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag, l_linestatus)"))
 DOCS = "(SELECT doc_id AS payload_id, text FROM documents WHERE text IS NOT NULL)"
 TALKS = "(SELECT conv_id * 1000 + turn AS payload_id, text FROM conversations WHERE text <> '')"
@@ -556,23 +561,23 @@ def kmer_count(spark, d):
 
 
 _KMERS = f"""
-WITH k AS (SELECT read_id, i - 1 AS startpos, substr(seq, i, 12) AS kmer FROM {PARTS}, range(1, length(seq) - 10) r(i)),
+WITH k AS (SELECT read_id, i - 1 AS startpos, substr(seq, i, 8) AS kmer FROM {PARTS}, range(1, length(seq) - 6) r(i)),
 n AS (SELECT *, count(*) OVER (PARTITION BY read_id, kmer) AS n FROM k)
-SELECT read_id, kmer, n, startpos, startpos + 11 AS endpos, round(least(1.0, n * n * 0.000002), 9) AS errorprob FROM n WHERE n > 1"""
+SELECT read_id, kmer, n, startpos, startpos + 7 AS endpos, round(least(1.0::DOUBLE, n * n * 0.000002::DOUBLE), 9) AS errorprob FROM n WHERE n > 1"""
 
 
 @query(_KMERS)
 def kmer_repeats(spark, d):
-    return qc.repeated_kmers(parts(spark, d), 12).withColumn("errorprob", F.round("errorprob", 9))
+    return qc.repeated_kmers(parts(spark, d), 8).withColumn("errorprob", F.round("errorprob", 9))
 
 
 def _motifs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, MOTIF_PROB) for m in MOTIFS], "motif string, errorprob double")
 
 
-@query(f"SELECT read_id, m AS motif, i - 1 AS startpos, i + length(m) - 2 AS endpos, 1.0::DOUBLE AS errorprob FROM {TURNS}, range(1, length(seq) + 1) r(i), unnest({list(MOTIFS)!r}) t(m) WHERE substr(seq, i, length(m)) = m")
+@query(f"SELECT read_id, m AS motif, i - 1 AS startpos, i + length(m) - 2 AS endpos, 1.0::DOUBLE AS errorprob FROM {ITEMS}, range(1, length(seq) + 1) r(i), unnest({list(MOTIFS)!r}) t(m) WHERE substr(seq, i, length(m)) = m")
 def motif_scan(spark, d):
-    return qc.motif_hits(turns(spark, d), _motifs(spark))
+    return qc.motif_hits(items(spark, d), _motifs(spark))
 
 
 _STACK = _RUNS.format(PARTS) + f""",
@@ -605,7 +610,7 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY startpos, endpos RO
 SELECT read_id, min(startpos) AS startpos, max(endpos) AS endpos, count(*) AS n FROM g GROUP BY read_id, g""")
 def error_islands(spark, d):
     p = parts(spark, d)
-    return qc.islands(qc.homopolymers(p).select("read_id", "startpos", "endpos").unionByName(qc.repeated_kmers(p, 12).select("read_id", "startpos", "endpos")))
+    return qc.islands(qc.homopolymers(p).select("read_id", "startpos", "endpos").unionByName(qc.repeated_kmers(p, 8).select("read_id", "startpos", "endpos")))
 
 
 @query(_STACK + f""", q AS (SELECT read_id, pos, chr((33 + least(greatest(round(CASE WHEN prob <= 0 THEN 40.0 WHEN prob >= 1 THEN 0.0 ELSE -10 * log10(round(prob, 9)) END), 0), 40))::INT) AS c FROM st)
@@ -758,7 +763,7 @@ def pool_histogram(spark, d):
 @query()
 def pool_hybridise(spark, d):
     """Pools of one brand each: chains of two-motif oligos that meet by their free ends."""
-    t = table(spark, d, "part").groupBy(F.substring("p_brand", -2, 2).cast("long").alias("pool_id")).agg(F.least(F.count("*"), F.lit(20)).alias("n"))
+    t = table(spark, d, "part").groupBy(F.right(F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(2)).cast("long").alias("pool_id")).agg(F.least(F.count("*"), F.lit(20)).alias("n"))
     oligo = F.explode(F.array(*[F.struct(F.array(F.lit(a), F.lit(b)).alias("fwd"), F.array(F.lit(c), F.lit(e)).alias("rev")) for a, b, c, e in (("a", "b", "a*", ""), ("", "c", "b*", "c*"), ("c", "d", "", "d*"))]))
     return assembly.hybridise(t.select("pool_id", "n", oligo.alias("o")).select("pool_id", "o.fwd", "o.rev", "n"), 60, 3)
 

@@ -54,6 +54,11 @@ def codebook(size: int = 256, width: int = CHECK_NT, apart: int = 4, seed: int =
     return tuple(found)
 
 
+@functools.cache
+def _places() -> dict[str, int]:
+    return {w: i for i, w in enumerate(codebook())}
+
+
 def _nt(symbols: np.ndarray) -> str:
     return "".join(ORDER[(s >> shift) & 3] for s in symbols for shift in range(SYMBOL - 2, -1, -2))
 
@@ -97,10 +102,12 @@ def decode_block(dna: str) -> tuple[bytes, bool]:
     shift = len(dna) - LENGTH
     if abs(shift) >= LIMIT or any(b not in ORDER for b in dna):
         return bytes(SYMBOLS), False
-    letters = np.frombuffer("".join(book).encode(), np.uint8).reshape(len(book), CHECK_NT)
-    distances = edit_distances(dna[-(CHECK_NT + LIMIT - 1) :], letters, free_start=True)
-    check = int(distances.argmin())
-    tail = int(distances[check])
+    check, tail = _places().get(dna[-CHECK_NT:], -1), 0
+    if check < 0:
+        letters = np.frombuffer("".join(book).encode(), np.uint8).reshape(len(book), CHECK_NT)
+        distances = edit_distances(dna[-(CHECK_NT + LIMIT - 1) :], letters, free_start=True)
+        check = int(distances.argmin())
+        tail = int(distances[check])
     c = code(FREE + 1)
     # What the check word may have gained or lost itself.
     for own in sorted(range(-tail, tail + 1), key=abs):
