@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the bytes that they decode to."""
-    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "source", "text")))
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -11,43 +11,34 @@ pre-token, say) is encoded whole. Decoding concatenates the raw bytes of ids.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import fresh, materialise
+from .textkernel import slices
 
 #: Characters of a chunk, and what it shares with the next. A text of more than CHUNK + OVERLAP characters is cut.
 CHUNK, OVERLAP = 32_768, 512
 #: A match that ends this close to a chunk's end may depend on what follows.
 UNSURE = 4
-SHORT_BATCH = 1 << 21
+#: Bytes of input that a worker has in hand at a time.
+SLICE = 1 << 19
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file with its pattern; loaded once per worker."""
+    """Ranks of a tiktoken file with its pattern; loaded once per worker, each part when it is first needed."""
 
     loaded: dict[tuple[str, str], Vocabulary] = {}
 
-    def __init__(self, path: str, pattern: str):
-        import regex
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
-        top = max(ranks.values()) + 1
-        tokens = [b""] * top
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.size = np.array([len(x) for x in tokens], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+    def __init__(self, path: str, rule: str):
+        self.path, self.rule = path, rule
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -55,6 +46,32 @@ class Vocabulary:
             cls.loaded[path, pattern] = cls(path, pattern)
         return cls.loaded[path, pattern]
 
+    @functools.cached_property
+    def ranks(self) -> dict[bytes, int]:
+        with open(self.path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    @functools.cached_property
+    def encoding(self):
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=self.rule, mergeable_ranks=self.ranks, special_tokens={})
+
+    @functools.cached_property
+    def pattern(self):
+        import regex
+
+        return regex.compile(self.rule)
+
+    @functools.cached_property
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per id, where its bytes start and how many they are; the bytes of all."""
+        found = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            found[rank] = token
+        size = np.array([len(x) for x in found], np.int64)
+        return np.cumsum(size) - size, size, np.frombuffer(b"".join(found), np.uint8)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes() if text else b""
@@ -63,9 +80,10 @@ class Vocabulary:
         at = np.frombuffer(ids, "<u4").astype(np.int64)
         if not len(at):
             return b""
-        size = self.size[at]
+        start, every, data = self.tokens
+        size = every[at]
         shift = np.cumsum(size) - size
-        return self.bytes[np.arange(int(size.sum())) + np.repeat(self.start[at] - shift, size)].tobytes()
+        return data[np.arange(int(size.sum())) + np.repeat(start[at] - shift, size)].tobytes()
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -92,24 +110,28 @@ def boundaries(pattern, text: str, last: bool) -> tuple[list[int], list[int]]:
     return head, tail
 
 
-def _encoder(path: str, pattern: str):
-    @F.arrow_udf("binary")
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = Vocabulary.load(path, pattern)
-        for column in texts:
-            yield pa.array([vocabulary.encode(x.as_py() or "") for x in column], pa.binary())
-
-    return encode
+def _sliced(rows: DataFrame, path: str, pattern: str, steps: list[tuple[str, str, str]], keep: list[str] | None = None) -> DataFrame:
+    """rows with binary columns from steps (column, new column, method of Vocabulary), a few hundred KB of input at a time.
 
+    All steps run in one worker, so a task has one Python process. keep: the
+    columns that stay, in order; all by default.
+    """
+    at = rows.columns.index(steps[0][0])
+    keep = keep or [*rows.columns, *[new for _, new, _ in steps]]
+    kinds = {f.name: f for f in [*rows.schema.fields, *[T.StructField(new, T.BinaryType()) for _, new, _ in steps]]}
 
-def _decoder(path: str, pattern: str):
-    @F.arrow_udf("binary")
-    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path, pattern)
-        for column in ids:
-            yield pa.array([vocabulary.decode(x.as_py() or b"") for x in column], pa.binary())
+        for batch in batches:
+            for t in slices(batch.column(at), SLICE):
+                part = batch.slice(t.first, len(t))
+                have = dict(zip(part.schema.names, part.columns, strict=True))
+                for source, new, method in steps:
+                    one, none = getattr(vocabulary, method), "" if method == "encode" else b""
+                    have[new] = pa.array([one(x.as_py() or none) for x in have[source]], pa.binary())
+                yield pa.RecordBatch.from_arrays([have[k] for k in keep], names=keep)
 
-    return decode
+    return rows.mapInArrow(run, T.StructType([kinds[k] for k in keep]))
 
 
 def _pretokeniser(path: str, pattern: str):
@@ -135,12 +157,11 @@ def encode_documents(
     at most chunk + OVERLAP characters are one chunk and never move.
     """
     path, pattern = vocabulary or default_vocabulary()
-    encode = _encoder(path, pattern)
     ids = "ids"
     while ids in {c.lower() for c in docs.columns}:
         ids += "_"
     n = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    short = docs.filter(n <= chunk + OVERLAP).withColumn(ids, encode(F.col(text_col)))
+    short = _sliced(docs.filter(n <= chunk + OVERLAP), path, pattern, [(text_col, ids, "encode")])
     long = docs.filter(n > chunk + OVERLAP)
     key = fresh(docs, "key")
     # Equal texts have equal ids: each distinct long text is encoded once.
@@ -154,7 +175,7 @@ def encode_documents(
 
 def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
     """texts (k, text), k unique -> k, ids. Cut, pre-tokenise, stitch, encode the pieces, concatenate."""
-    encode, pretokenise = _encoder(path, pattern), _pretokeniser(path, pattern)
+    pretokenise = _pretokeniser(path, pattern)
     n = F.char_length("text")
     starts = F.sequence(F.lit(0), n - OVERLAP - 1, F.lit(chunk))
     cut = texts.select("k", n.alias("n"), F.posexplode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring("text", s + 1, F.lit(chunk + OVERLAP)).alias("t")))).alias("i", "c"))
@@ -173,7 +194,7 @@ def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -
     pieces = texts.join(cuts, "k").select(
         "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda j: F.substring("text", F.element_at("cuts", j) + 1, F.element_at("cuts", j + 1) - F.element_at("cuts", j)))).alias("i", "t")
     )
-    coded = pieces.repartition("k", "i").select("k", "i", F.hex(encode(F.col("t"))).alias("h"))
+    coded = _sliced(pieces.repartition("k", "i"), path, pattern, [("t", "ids", "encode")]).select("k", "i", F.hex("ids").alias("h"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
     return materialise(coded.groupBy("k").agg(F.unhex(ordered).alias("ids")), "long-ids")
 
@@ -183,4 +204,14 @@ def decode_documents(coded: DataFrame, ids_col: str = "ids", vocabulary: tuple[s
     name = "decoded"
     while name in {c.lower() for c in coded.columns}:
         name += "_"
-    return coded.withColumn(name, _decoder(*(vocabulary or default_vocabulary()))(F.col(ids_col)))
+    return _sliced(coded, *(vocabulary or default_vocabulary()), [(ids_col, name, "decode")])
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", vocabulary: tuple[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """docs without their text, with ids and what they decode to; as encode_documents and decode_documents, in one pass over short texts."""
+    path, pattern = vocabulary or default_vocabulary()
+    rest = [c for c in docs.columns if c != text_col]
+    n = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+    short = _sliced(docs.filter(n <= chunk + OVERLAP), path, pattern, [(text_col, "ids", "encode"), ("ids", "decoded", "decode")], [*rest, "ids", "decoded"])
+    long = encode_documents(docs.filter(n > chunk + OVERLAP), text_col, (path, pattern), chunk).select(*rest, "ids")
+    return short.unionByName(decode_documents(long, "ids", (path, pattern)))

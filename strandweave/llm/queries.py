@@ -24,7 +24,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode_documents(bpe.encode_documents(docs))
+    coded = bpe.round_trip(docs)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -93,6 +93,27 @@ WITH d AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""",
+    "op6_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+g AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS w5, lead(w, 4) OVER o AS fifth FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w5) AS c FROM g WHERE fifth IS NOT NULL),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r WHERE c > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
+dup AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, l ORDER BY p) AS k FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')) WHERE k > 1 GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n, sum(length(w))::BIGINT AS c FROM w GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, source, coalesce(counted.n, 0) AS n_words, coalesce(counted.c, 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source),
+moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS sq FROM hosts),
+prior AS (SELECT m, CASE WHEN sq - m * m > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / (sq - m * m) - 1)) ELSE 1e6 END AS size FROM moments),
+bad AS (SELECT source, (f + size * m) / (n + size) >= 0.9 AS bad FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 """,
     "op8_line_dedup": r"""
 WITH lines AS (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
