@@ -52,20 +52,24 @@ def mad_filter(reads: DataFrame, keys: list[str], width: float = 5.0) -> DataFra
 def consensus(reads: DataFrame, keys: list[str], seq: str = "seq", order: str = "ord", only: str | None = "ACGT") -> DataFrame:
     """Per group and position the most frequent base; ties go to the base seen first. -> keys, seq, n_reads.
 
-    Equal reads are counted once before positions are exploded, so a hot group
-    of clean copies is a row. Positions where no read has an allowed base get A.
+    Equal reads are counted once before positions are exploded, and a group of
+    equal reads only is its own consensus, so clean copies are never exploded.
+    Positions where no read has an allowed base get A.
     """
     same = reads.groupBy(*keys, F.col(seq).alias("s")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
-    at = same.select(*keys, "n", "o", F.posexplode(F.split("s", "")).alias("pos", "base")).filter(F.col("base") != "")
+    groups = same.groupBy(*keys).agg(F.count("*").alias("kinds"), F.sum("n").alias("n_reads"), F.min("s").alias("one"))
+    alone = F.col("one") if only is None else F.regexp_replace("one", f"[^{only}]", "A")
+    clean = groups.filter("kinds = 1").select(*keys, alone.alias(seq), "n_reads")
+    mixed = same.join(groups.filter("kinds > 1").select(*keys, "n_reads"), keys)
+    at = mixed.select(*keys, "n_reads", "n", "o", F.posexplode(F.split("s", "")).alias("pos", "base")).filter(F.col("base") != "")
     if only is not None:
         at = at.withColumn("base", F.when(F.instr(F.lit(only), F.col("base")) > 0, F.col("base")))
-    votes = at.groupBy(*keys, "pos", "base").agg(F.sum("n").alias("n"), F.min("o").alias("o"))
-    best = votes.groupBy(*keys, "pos").agg(F.min(F.when(F.col("base").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("o").alias("o"), F.col("base").alias("base")))).alias("b"))
-    called = best.select(*keys, "pos", F.coalesce("b.base", F.lit("A")).alias("base"))
+    votes = at.groupBy(*keys, "pos", "base").agg(F.sum("n").alias("n"), F.min("o").alias("o"), F.max("n_reads").alias("n_reads"))
+    best = votes.groupBy(*keys, "pos").agg(F.min(F.when(F.col("base").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("o").alias("o"), F.col("base").alias("base")))).alias("b"), F.max("n_reads").alias("n_reads"))
+    called = best.select(*keys, "pos", "n_reads", F.coalesce("b.base", F.lit("A")).alias("base"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "base")))
-    joined = called.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["base"]), "").alias(seq))
-    counts = same.groupBy(*keys).agg(F.sum("n").alias("n_reads"))
-    return joined.join(counts, keys)
+    voted = called.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["base"]), "").alias(seq), F.max("n_reads").alias("n_reads"))
+    return clean.unionByName(voted)
 
 
 def modal_length(reads: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
