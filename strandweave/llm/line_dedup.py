@@ -66,8 +66,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     bitmaps = dropped_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(F.col("doc_id").alias(bi), F.col("text_hash").alias(bh), F.col("dropped").alias(bm))
     bitmaps = materialise(bitmaps, "line-bitmaps")
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    small = maybe_broadcast(bitmaps, limit=20_000)
-    joined = keyed.join(small.hint("shuffle_hash") if small is bitmaps else small, F.col(id_col).eqNullSafe(F.col(bi)) & (F.col(th) == F.col(bh)), "left")
+    # One plan at every size: texts meet their bitmaps in a shuffled hash join, whose built side is the bitmaps.
+    joined = keyed.join(bitmaps.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(bi)) & (F.col(th) == F.col(bh)), "left")
     lines = lines_of(F.col(text_col))
     set_bit = lambda i: F.call_function("getbit", F.coalesce(F.try_element_at(F.col(bm), F.floor(i / 64).cast("int")), F.lit(0).cast("long")), (i % 64).cast("int")) == 1
     text = F.when(F.col(bm).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~set_bit(i)), "\n"))
