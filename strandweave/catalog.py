@@ -230,40 +230,40 @@ def dna_decode_max_density(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {TALKS}),
+WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {DOCS}),
 cut AS (SELECT payload_id, i AS strand_idx, substr(b, (i * {FLAT.payload_bits} + 1)::BIGINT, {FLAT.payload_bits}) AS part FROM s, range(0, (length(b) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits}) r(i)),
 w AS (SELECT payload_id, strand_idx, {digits_of('strand_idx', 2, FLAT.barcode)} || {digits_of(f'CASE WHEN length(part) < {FLAT.payload_bits} THEN length(part) ELSE 0 END', 2, FLAT.header)} || lpad(part, {FLAT.payload_bits}, '0') AS w FROM cut)
 SELECT payload_id, strand_idx, array_to_string(list_transform(range(1, length(w) + 1), lambda i: substr('TGCA', 1 + (substr(w, i, 1) = '1')::INT + 2 * ((i - 1) % 2)::INT, 1)), '') AS dna FROM w""")
 def dna_encode_no_homopolymer(spark, d):
-    return codecs.encode_no_homopolymer(talks(spark, d), FLAT)
+    return codecs.encode_no_homopolymer(documents(spark, d), FLAT)
 
 
-@query(f"SELECT payload_id, CASE WHEN (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode} THEN md5(text) END AS bytes_md5 FROM {TALKS} WHERE text <> '' AND (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode}")
+@query(f"SELECT payload_id, CASE WHEN (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode} THEN md5(text) END AS bytes_md5 FROM {DOCS} WHERE text <> '' AND (8 * octet_length(encode(text)) + {FLAT.payload_bits - 1}) // {FLAT.payload_bits} <= {2**FLAT.barcode}")
 def dna_decode_no_homopolymer(spark, d):
     """Contents whose ordinals fit the barcode."""
-    fit = talks(spark, d).filter(F.ceil(F.col("n_bytes") * 8 / FLAT.payload_bits) <= 2**FLAT.barcode)
+    fit = documents(spark, d).filter(F.ceil(F.col("n_bytes") * 8 / FLAT.payload_bits) <= 2**FLAT.barcode)
     return codecs.decode_no_homopolymer(codecs.encode_no_homopolymer(fit, FLAT), FLAT).select("payload_id", F.md5("content").alias("bytes_md5"))
 
 
 _K = CHURCH["capacity"] - CHURCH["index_bits"]
 _SEG = f"""
-WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {TALKS}),
+WITH s AS (SELECT payload_id, {bits_of('text')} AS b FROM {DOCS}),
 cut AS (SELECT payload_id, i, rpad(substr(b, (i * {_K} + 1)::BIGINT, {_K}), {_K}, '0') AS part FROM s, range(0, (length(b) + {_K - 1}) // {_K}) r(i))
 """
 
 
 @query(_SEG + f", w AS (SELECT payload_id, i AS strand_idx, {digits_of('i', 2, CHURCH['index_bits'])} || part AS b FROM cut) SELECT payload_id, strand_idx, translate(regexp_replace(regexp_replace(b, '{'0' * (RUN + 1)}', '{'A' * RUN}C', 'g'), '{'1' * (RUN + 1)}', '{'G' * RUN}T', 'g'), '01', 'AG') AS dna FROM w")
 def dna_encode_church(spark, d):
-    return codecs.encode_church(talks(spark, d), run=RUN, **CHURCH)
+    return codecs.encode_church(documents(spark, d), run=RUN, **CHURCH)
 
 
 def _sizes(payload: DataFrame) -> DataFrame:
     return payload.filter(F.octet_length("content") > 0).select("payload_id", (F.octet_length("content") * 8).alias("n_bits"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost, 0::BIGINT AS n_repaired FROM {TALKS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost, 0::BIGINT AS n_repaired FROM {DOCS} WHERE text <> ''")
 def dna_decode_church(spark, d):
-    p = talks(spark, d)
+    p = documents(spark, d)
     back = codecs.decode_church(codecs.encode_church(p, run=RUN, **CHURCH), _sizes(p), CHURCH["index_bits"])
     return back.select("payload_id", F.md5("content").alias("bytes_md5"), "n_lost", "n_repaired")
 
@@ -274,14 +274,14 @@ UNION ALL
 SELECT payload_id, (i // 2 * 3 + 2)::BIGINT, CASE WHEN count(*) = 1 THEN min(part) ELSE array_to_string(list_transform(range(1, {_K} + 1), lambda j: CASE WHEN substr(min(part), j, 1) = substr(max(part), j, 1) THEN '0' ELSE '1' END), '') END
 FROM cut GROUP BY payload_id, i // 2""")
 def segment_redundancy_xor(spark, d):
-    s = codecs.segments(talks(spark, d), CHURCH["capacity"], CHURCH["index_bits"], True)
+    s = codecs.segments(documents(spark, d), CHURCH["capacity"], CHURCH["index_bits"], True)
     return s.select("payload_id", "seg_idx", F.substring("bits", CHURCH["index_bits"] + 1, _K).alias("part"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost FROM {TALKS} WHERE text <> ''")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, 0::BIGINT AS n_lost FROM {DOCS} WHERE text <> ''")
 def segment_repair(spark, d):
     """One segment of each triple lost, by hash; all are rebuilt."""
-    p = talks(spark, d)
+    p = documents(spark, d)
     s = codecs.segments(p, CHURCH["capacity"], CHURCH["index_bits"], True)
     gone = F.pmod(F.xxhash64("payload_id", F.floor(F.col("seg_idx") / 3)), F.lit(3)) == F.col("seg_idx") % 3
     whole = F.max("seg_idx").over(Window.partitionBy("payload_id"))
@@ -314,10 +314,10 @@ def dna_decode_goldman(spark, d):
     return codecs.decode_goldman(kept.drop("last"), sizes).select("payload_id", F.md5("content").alias("bytes_md5"), "n_quarters_lost")
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5, true AS ok FROM {TALKS}")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5, true AS ok FROM {DOCS}")
 def roundtrip_rs(spark, d):
     """Bytes with 20 parities a word, one byte in every 40 flipped (at most ten errors a word), restored."""
-    coded = reed_solomon.protect_column(talks(spark, d), 20)
+    coded = reed_solomon.protect_column(documents(spark, d), 20)
     h = F.hex("coded")
     n = F.octet_length("coded")
     hit = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), 2 * n, F.lit(80))).otherwise(F.array().cast("array<int>")), h, lambda s, i: F.overlay(s, F.when(F.substring(s, i, F.lit(1)) == "F", "0").otherwise("F"), i, F.lit(1)))
@@ -325,10 +325,10 @@ def roundtrip_rs(spark, d):
     return back.select("payload_id", F.md5("decoded.content").alias("bytes_md5"), F.col("decoded.ok").alias("ok"))
 
 
-@query(f"SELECT payload_id, md5(text) AS bytes_md5 FROM {TALKS}")
+@query(f"SELECT payload_id, md5(text) AS bytes_md5 FROM {DOCS} WHERE text <> ''")
 def roundtrip_lt(spark, d):
     """Rows of 64 bytes as fountain symbols, some lost; what peeling finds is compared."""
-    p = talks(spark, d)
+    p = documents(spark, d).filter("n_bytes > 0")
     h = F.hex("content")
     rows = p.select("payload_id", "n_bytes", F.posexplode(bits.pieces(h, 128)).alias("row", "h")).select("payload_id", "n_bytes", "row", F.unhex(F.rpad("h", 128, "0")).alias("data"))
     symbols = fountain.encode_payloads(rows.drop("n_bytes"), overhead=3.0, seed=9)

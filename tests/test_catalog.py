@@ -86,3 +86,9 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["seq"] for r in reads.consensus_of(spark.table("votes")).collect()] == ["ACGA"]
+
+
+@pytest.mark.parametrize("name", ["dna_encode_no_homopolymer", "dna_decode_no_homopolymer", "dna_encode_church", "dna_decode_church", "segment_redundancy_xor", "segment_repair", "roundtrip_rs", "roundtrip_lt"])
+def test_codecs_run_on_documents(spark, name):
+    files = {f.rsplit("/", 1)[-1] for f in catalog.queries()[name](spark, DIR).inputFiles()}
+    assert files == {"documents.parquet"} and " documents " in catalog.oracle_sql()[name]
