@@ -762,10 +762,10 @@ def pool_histogram(spark, d):
 
 @query()
 def pool_hybridise(spark, d):
-    """Pools of one brand each: chains of two-motif oligos that meet by their free ends."""
-    t = table(spark, d, "part").groupBy(F.right(F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(2)).cast("long").alias("pool_id")).agg(F.least(F.count("*"), F.lit(20)).alias("n"))
+    """Pools of one brand each, a copy of each oligo for every part: chains of two-motif oligos that meet by their free ends."""
+    t = table(spark, d, "part").groupBy(F.right(F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(2)).cast("long").alias("pool_id")).agg(F.count("*").alias("n"))
     oligo = F.explode(F.array(*[F.struct(F.array(F.lit(a), F.lit(b)).alias("fwd"), F.array(F.lit(c), F.lit(e)).alias("rev")) for a, b, c, e in (("a", "b", "a*", ""), ("", "c", "b*", "c*"), ("c", "d", "", "d*"))]))
-    return assembly.hybridise(t.select("pool_id", "n", oligo.alias("o")).select("pool_id", "o.fwd", "o.rev", "n"), 60, 3)
+    return assembly.hybridise(t.select("pool_id", "n", oligo.alias("o")).select("pool_id", "o.fwd", "o.rev", "n"), seed=3)
 
 
 # experiments ------------------------------------------------------------------------------------

@@ -114,13 +114,16 @@ def pair(a: Oligo, b: Oligo) -> Oligo | None:
     return None
 
 
-def hybridise(pools: DataFrame, steps: int, seed: int = 0) -> DataFrame:
-    """pools (pool_id, fwd, rev, n) -> pool_id, fwd, rev, n after `steps` random meetings; sequential within a pool."""
+def hybridise(pools: DataFrame, steps: int | None = None, seed: int = 0) -> DataFrame:
+    """pools (pool_id, fwd, rev, n) -> pool_id, fwd, rev, n after `steps` random meetings; sequential within a pool.
+
+    Without steps a pool has ten meetings for each oligo that it begins with.
+    """
 
     def run(key, table):
         r = random.Random(f"{seed}|{key[0].as_py()}")
         rows = sorted((tuple(x["fwd"]), tuple(x["rev"])) for x in table.to_pylist() for _ in range(x["n"]))
-        for _ in range(steps):
+        for _ in range(10 * len(rows) if steps is None else steps):
             if len(rows) < 2:
                 break
             i, j = r.sample(range(len(rows)), 2)

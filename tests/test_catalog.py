@@ -92,3 +92,17 @@ def test_stream(spark, tmp_path):
 def test_codecs_run_on_documents(spark, name):
     files = {f.rsplit("/", 1)[-1] for f in catalog.queries()[name](spark, DIR).inputFiles()}
     assert files == {"documents.parquet"} and " documents " in catalog.oracle_sql()[name]
+
+
+def test_pools_are_whole(spark, tmp_path):
+    """No copy is dropped: each chain's symbols on both strands add up to what its pool began with. Ten meetings an oligo."""
+    from strandweave.operators import assembly
+
+    spark.createDataFrame([(f"Brand#1{i % 2}",) for i in range(130)], "p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    symbols = {10: 0, 11: 0}
+    for r in catalog.queries()["pool_hybridise"](spark, str(tmp_path)).collect():
+        symbols[r["pool_id"]] += r["n"] * sum(s != "" for s in [*r["fwd"], *r["rev"]])
+    assert symbols == {10: 65 * 9, 11: 65 * 9}
+    pools = spark.createDataFrame([(1, ["a", "b"], ["a*", ""], 300), (1, ["", "c"], ["b*", "c*"], 300)], "pool_id long, fwd array<string>, rev array<string>, n long")
+    left = [sum(r["n"] for r in assembly.hybridise(pools, *steps, seed=3).collect()) for steps in ((), (6000,), (60,))]
+    assert left[0] == left[1] < left[2]
