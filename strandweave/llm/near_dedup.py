@@ -146,8 +146,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles, else stay by themselves with a null class. An empty table gives an
     empty result. Other columns are ignored.
     """
+    return _decided(docs, id_col, text_col)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """near_duplicates with columns of each row (of doc_id and text) carried along."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(texts.select("doc_id", signed(F.col("text")).alias("s")).select("doc_id", "s.*"), "signatures")
+    extra = texts.select(*carried).columns if carried else []
+    rows = materialise(texts.select("doc_id", *carried, signed(F.col("text")).alias("s")).select("doc_id", *extra, "s.*"), "signatures")
     nodes = rows.filter(F.col("n_shingles") > 0).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
@@ -169,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = materialise(classes, "classes")
     named = rows.join(maybe_broadcast(classes), F.col("digest") == F.col("d"), "left").withColumn("component_id", F.coalesce("class", "doc_id"))
-    return named.select("doc_id", F.col("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select("doc_id", F.col("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
 
 
 def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,8 +287,13 @@ def _similar_matrix(x: list[np.ndarray], y: list[np.ndarray], percent: int = PER
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each class does; columns unchanged."""
-    gone = fresh(docs, "gone")
-    lost = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    """The rows of docs that stay when one document of each class does; columns unchanged.
+
+    Decided for each row, by id and text: of rows that share an id, or have
+    none, only those whose text isn't kept go.
+    """
+    gone, lost_text = fresh(docs, "gone"), fresh(docs, "lost_text")
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    lost = _decided(docs, "doc_id", "text", text_hash.alias(lost_text)).filter(~F.col("kept")).select(F.col("doc_id").alias(gone), lost_text).distinct()
     lost = materialise(lost, "lost")
-    return docs.join(maybe_broadcast(lost), F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    return docs.join(maybe_broadcast(lost), F.col("doc_id").eqNullSafe(F.col(gone)) & (text_hash == F.col(lost_text)), "left_anti")

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from strandweave.llm import queries
+from strandweave.llm import near_dedup, queries
 
 from .helpers import corpus, documents, near_classes
 
@@ -34,3 +34,12 @@ def test_registered():
     names = queries.queries()
     assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 10
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_near_stage_decides_by_row(spark):
+    """Null and repeated ids: a copied text goes, unique ones of the same id stay."""
+    words = lambda seed: " ".join(f"w{seed * 100 + i}" for i in range(30))
+    rows = [(3, words(0), "a"), (4, words(1), "a"), (5, words(0), "a"), (5, words(2), "a"), (None, words(1), "a"), (None, words(3), "b"), (None, words(4), None), (None, None, "a"), (6, None, "a")]
+    kept = near_dedup.keep_one(documents(spark, rows))
+    want = [rows[i] for i in (0, 1, 3, 5, 6, 7, 8)]
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=str) == sorted(want, key=str)
