@@ -76,28 +76,79 @@ def encode_block(data: bytes) -> str:
 
 @functools.cache
 def patterns(shift: int, depth: int) -> tuple[dict[int, int], ...]:
-    """Blocks that gained or lost bases, total `shift`; fewer blocks first."""
-    blocks = SYMBOLS + FREE
+    """Blocks that gained or lost bases, total `shift`; fewer blocks first.
+
+    Pairs have parts of the shift's sign; depth adds those of opposite signs.
+    """
+    blocks, sign = SYMBOLS + FREE, 1 if shift > 0 else -1
     found = [{}] if shift == 0 else [{i: shift} for i in range(blocks)]
+    firsts = [sign * a for a in range(1, abs(shift))]
     if depth:
-        for i, j in combinations(range(blocks), 2):
-            for a in (-2, -1, 1, 2):
-                if shift - a and abs(shift - a) <= 2:
-                    found.append({i: a, j: shift - a})
+        firsts += [a for a in (-2, -1, 1, 2) if a not in firsts and shift - a and abs(shift - a) <= 2]
+    found += [{i: a, j: shift - a} for i, j in combinations(range(blocks), 2) for a in firsts]
     return tuple(found)
 
 
-def _cut(part: str, pattern: dict[int, int]) -> list[str]:
-    out, at = [], 0
-    for i in range(SYMBOLS + FREE):
-        n = PER + pattern.get(i, 0)
-        out.append(part[at : at + max(0, n)])
-        at += max(0, n)
-    return out
+@functools.cache
+def _guesses(shift: int, depth: int) -> tuple[np.ndarray, ...]:
+    """Patterns with one or two blocks as arrays: starts of blocks, which stay, and the locators x, y of the erased (y 0 for one)."""
+    f, n = code(FREE + 1).field, SYMBOLS + FREE
+    rows = [p for p in patterns(shift, depth) if 0 < len(p) <= FREE]
+    change = np.array([[p.get(i, 0) for i in range(n)] for p in rows], np.int64)
+    ends = np.maximum(0, PER + change).cumsum(axis=1)
+    starts = np.concatenate((np.zeros((len(rows), 1), np.int64), ends), axis=1)
+    where = [sorted(p) for p in rows]
+    x = np.array([int(f.power(n - w[0])) for w in where], np.int64)
+    y = np.array([int(f.power(n - w[1])) if len(w) > 1 else 0 for w in where], np.int64)
+    return starts, change == 0, x, y, np.array([[w[0], w[-1]] for w in where], np.int64)
+
+
+@functools.cache
+def _weighted() -> tuple[np.ndarray, np.ndarray]:
+    """Symbols times the first and second power of each block's locator: (blocks, 256) each."""
+    f, n = code(FREE + 1).field, SYMBOLS + FREE
+    x = np.array([int(f.power(n - i)) for i in range(n)], np.int64)[:, None]
+    return f.mul(x, np.arange(256)[None, :]), f.mul(f.mul(x, x), np.arange(256)[None, :])
+
+
+def _edits(a: str, b: str) -> int:
+    return int(edit_distances(a, np.frombuffer(b.encode(), np.uint8)[None, :])[0])
+
+
+def _guess(part: str, check: int, shift: int, depth: int) -> tuple[int, bytes] | None:
+    """(edits, payload) of the guess that the codeword bears out with the fewest edits in its erased blocks; all patterns at once."""
+    starts, stays, x, y, where = _guesses(shift, depth)
+    f, (once, twice) = code(FREE + 1).field, _weighted()
+    quads = np.array([ORDER.index(b) for b in part] + [0] * (2 * PER), np.int64)
+    value = np.zeros(len(part) + PER + 1, np.int64)
+    for k in range(PER):
+        value = value * 4 + quads[k : k + len(value)]
+    word = np.where(stays, value[starts[:, :-1]], 0)
+    places = np.arange(word.shape[1])[None, :]
+    s0, s1, s2 = (np.bitwise_xor.reduce(w, axis=1) ^ check for w in (word, once[places, word], twice[places, word]))
+    # Syndromes of erasures alone follow the recurrence of their locators.
+    one = y == 0
+    good = np.where(one, (s1 == f.mul(s0, x)) & (s2 == f.mul(s1, x)), s2 == f.mul(s1, x ^ y) ^ f.mul(f.mul(x, y), s0))
+    best = None
+    for p in np.flatnonzero(good):
+        i, j = where[p]
+        fixed = word[p].copy()
+        if one[p]:
+            fixed[i] = s0[p]
+        else:
+            fixed[i] = int(f.mul(int(s1[p]) ^ int(f.mul(y[p], s0[p])), f.inv(int(x[p] ^ y[p]))))
+            fixed[j] = int(s0[p]) ^ int(fixed[i])
+        cost = sum(_edits(part[starts[p, b] : starts[p, b + 1]], _nt(fixed[b : b + 1])) for b in {int(i), int(j)})
+        if best is None or cost < best[0]:
+            best = cost, fixed[:SYMBOLS].astype(np.uint8).tobytes()
+    return best
 
 
 def decode_block(dna: str) -> tuple[bytes, bool]:
-    """The payload and whether it was decoded: guess where bases came or went, erase those blocks, check against the codebook symbol."""
+    """The payload and whether it was decoded: guess where bases came or went, erase those blocks, check against the codebook symbol.
+
+    Of the guesses that check, the one of the fewest edits counts, ties the first.
+    """
     book = codebook()
     shift = len(dna) - LENGTH
     if abs(shift) >= LIMIT or any(b not in ORDER for b in dna):
@@ -108,28 +159,26 @@ def decode_block(dna: str) -> tuple[bytes, bool]:
         distances = edit_distances(dna[-(CHECK_NT + LIMIT - 1) :], letters, free_start=True)
         check = int(distances.argmin())
         tail = int(distances[check])
-    c = code(FREE + 1)
+    c, best = code(FREE + 1), None
     # What the check word may have gained or lost itself.
     for own in sorted(range(-tail, tail + 1), key=abs):
         rest = shift - own
         part = dna[: PER * (SYMBOLS + FREE) + rest]
         if abs(rest) >= LIMIT or len(part) != PER * (SYMBOLS + FREE) + rest:
             continue
-        for pattern in patterns(rest, 1 if abs(rest) <= 1 else 0):
-            if len(pattern) > FREE:
-                continue
-            blocks = _cut(part, pattern)
-            erased = [i for i, b in enumerate(blocks) if i in pattern or len(b) != PER]
-            if len(erased) > FREE:
-                continue
-            word = np.array([0 if i in erased else int(_symbols(b)[0]) for i, b in enumerate(blocks)] + [check], np.int64)
-            fixed = c.correct(word, erased)
-            if fixed is None or fixed[-1] != check:
-                continue
-            changed = sum(int(fixed[i] != word[i]) for i in range(len(blocks)) if i not in erased)
-            if changed <= (FREE - len(erased)) // 2:
-                return fixed[:SYMBOLS].astype(np.uint8).tobytes(), True
-    return bytes(SYMBOLS), False
+        found = None
+        if rest == 0:
+            word = np.append(_symbols(part), check)
+            fixed = c.correct(word)
+            if fixed is not None and fixed[-1] == check and (changed := int((fixed != word).sum())) <= FREE // 2:
+                found = changed, fixed[:SYMBOLS].astype(np.uint8).tobytes()
+        if found is None:
+            found = _guess(part, check, rest, 1 if abs(rest) <= 1 else 0)
+        if found is not None and (best is None or abs(own) + found[0] < best[0]):
+            best = abs(own) + found[0], found[1]
+        if best is not None and best[0] <= abs(own) + 1:
+            break
+    return (bytes(SYMBOLS), False) if best is None else (best[1], True)
 
 
 def encode(payload: DataFrame) -> DataFrame:

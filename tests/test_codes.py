@@ -66,6 +66,19 @@ def test_guess_and_check_repairs_one_edit():
         assert gcplus.decode_block(hit) == (data, True)
 
 
+def test_guess_and_check_repairs_two_blocks():
+    """Two deletions or two insertions, each in a block of its own."""
+    r, right = random.Random(8), 0
+    for i in range(60):
+        data = bytes(r.randrange(256) for _ in range(21))
+        s = gcplus.encode_block(data)
+        a, b = sorted(r.sample(range(23), 2))
+        p, q = 4 * a + r.randrange(4), 4 * b + r.randrange(4)
+        hit = s[:p] + s[p + 1 : q] + s[q + 1 :] if i % 2 else s[:p] + r.choice("ACGT") + s[p:q] + r.choice("ACGT") + s[q:]
+        right += gcplus.decode_block(hit) == (data, True)
+    assert right >= 54
+
+
 def test_paired_segments():
     r = random.Random(3)
     for _ in range(20):
