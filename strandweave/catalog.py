@@ -348,13 +348,20 @@ def _gc_blocks(spark, d):
     return gcplus.encode(talks(spark, d))
 
 
+def _gc_damaged(spark, d):
+    """Strands that have lost, gained or changed one base of their payload part, by hash."""
+    h = F.xxhash64("payload_id", "strand_idx")
+    at = (F.pmod(h, F.lit(90)) + 1).cast("int")
+    kind = F.pmod(F.shiftright(h, 20), F.lit(3))
+    other = F.translate(F.substring(F.col("dna"), at, F.lit(1)), "ACGT", "CGTA")
+    return _gc_blocks(spark, d).withColumn("dna", F.overlay("dna", F.when(kind == 0, "").otherwise(other), at, F.when(kind == 1, 0).otherwise(1)))
+
+
 @query("""SELECT conv_id * 1000 + turn AS payload_id, md5(text) AS bytes_md5, true AS ok FROM conversations WHERE text <> ''""")
 def roundtrip_gcplus(spark, d):
-    """Every strand has one base of its payload part changed; all decode."""
+    """Every strand has lost, gained or changed one base of its payload part; all decode."""
     p = talks(spark, d)
-    at = (F.pmod(F.xxhash64("payload_id", "strand_idx"), F.lit(90)) + 1).cast("int")
-    damaged = _gc_blocks(spark, d).withColumn("dna", F.overlay("dna", F.translate(F.substring(F.col("dna"), at, F.lit(1)), "ACGT", "CGTA"), at, F.lit(1)))
-    back = gcplus.decode(damaged).groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("strand_idx", F.hex("block").alias("h")))), lambda x: x["h"]), "").alias("h"), F.min("ok").alias("ok"))
+    back = gcplus.decode(_gc_damaged(spark, d)).groupBy("payload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("strand_idx", F.hex("block").alias("h")))), lambda x: x["h"]), "").alias("h"), F.min("ok").alias("ok"))
     n = F.octet_length("content")
     return back.join(p, "payload_id").select("payload_id", F.md5(F.unhex(F.left("h", (2 * n).cast("int")))).alias("bytes_md5"), "ok")
 
@@ -813,9 +820,8 @@ def compare_status(spark, d):
 
 @query()
 def fer_gcplus(spark, d):
-    """Frame error rates of the guess-and-check code at three indel rates, on all suppliers' names."""
-    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("payload_id"), F.encode(F.col("s_name"), "UTF-8").alias("content"))
-    blocks = gcplus.encode(names).withColumn("copy_no", F.lit(0))
+    """Frame error rates of the guess-and-check code at three indel rates, on all blocks of the conversations."""
+    blocks = _gc_blocks(spark, d).withColumn("copy_no", F.lit(0))
     original = gcplus.decode(blocks).select("payload_id", "strand_idx", F.col("block").alias("want"))
 
     def one(p: dict) -> DataFrame:

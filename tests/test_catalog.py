@@ -106,3 +106,15 @@ def test_pools_are_whole(spark, tmp_path):
     pools = spark.createDataFrame([(1, ["a", "b"], ["a*", ""], 300), (1, ["", "c"], ["b*", "c*"], 300)], "pool_id long, fwd array<string>, rev array<string>, n long")
     left = [sum(r["n"] for r in assembly.hybridise(pools, *steps, seed=3).collect()) for steps in ((), (6000,), (60,))]
     assert left[0] == left[1] < left[2]
+
+
+def test_guess_and_check_queries_are_whole(spark, tmp_path):
+    """All blocks of the conversations count, and strands lose and gain bases."""
+    spark.createDataFrame([(i, t, "user", f"turn {t} of talk {i} " * 6) for i in range(3) for t in range(4)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    blocks = sum(-(-len(f"turn {t} of talk {i} " * 6) // 21) for i in range(3) for t in range(4))
+    d = str(tmp_path)
+    assert {r[0] for r in catalog._gc_damaged(spark, d).selectExpr("length(dna)").collect()} == {103, 104, 105}
+    back = catalog.queries()["roundtrip_gcplus"](spark, d).collect()
+    assert len(back) == 12 and all(r["ok"] for r in back)
+    rates = catalog.queries()["fer_gcplus"](spark, d).collect()
+    assert len(rates) == 3 and all(r["n"] == blocks for r in rates)
