@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from . import boosting
 
 KINDS = ("email", "ip", "card", "phone")
@@ -26,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 MARK = "\x01"
 CONTEXT = 24
+#: Digit groups of a number candidate at most.
+GROUPS = 5
 _LOCAL = "A-Za-z0-9._%+-"
 
 #: Leftmost non-overlapping matches as the plain patterns have them: \\G lets a match start where the last one ended.
@@ -38,7 +41,8 @@ BASE = {
 GENERATORS = {
     "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]{{1,64}}+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{{1,63}}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]{{1,63}}){{1,8}}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "number": r"(?<![0-9A-Za-z+])\(?[0-9][0-9() .-]{5,28}[0-9](?![0-9A-Za-z])",
+    # A whole run of digit groups and, if one follows at once, a letter; _number_candidates proposes parts of it.
+    "number": r"(?<![0-9A-Za-z+])\(?[0-9][0-9() .-]*+[A-Za-z]?+",
 }
 FEATURES = ("digits", "length", "others", "luhn", "at_sign", "at_word", "dots", "groups", "paren", "colons", "c_phone", "c_card", "c_mail", "c_ip")
 WORDS = {"c_phone": r"tel|phone|call|fax|mobile|contact", "c_card": r"card|visa|credit|pay|account", "c_mail": r"mail|write|contact|send", "c_ip": r"ip|host|server|addr"}
@@ -142,6 +146,16 @@ def _examples(seed: int, n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         other = r.choice([f"20{digits(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{digits(4)} - {digits(4)}", digits(r.randint(7, 20)), f"{digits(3)}.{digits(3)}.{digits(2)}", f"{digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"{a}-{b}-{e}", f"{a} {b} {e}"])
         sets["number"].append((other, r.choice(plain), 0))
         sets["number"].append((digits(16), r.choice(plain + cards[:1]), 0) if r.random() < 0.9 else (other, r.choice(plain), 0))
+        # Parts of a number, and neighbours taken as one, but for those that look like a whole number.
+        sep, next_ = r.choice("-. "), f"{digits(3)}-{digits(3)}-{digits(4)}"
+        whole, date = sep.join((a, b, e)), f"20{digits(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}"
+        call = r.choice(calls)
+        wrong = [
+            (f"{a}{sep}{b}", call), (f"{b}{sep}{e}", f"{call}{a}{sep}"), (f"{whole} {date[:4]}", call), (f"{whole} {date}", call),
+            (f"{whole} {next_[:3]}", call), (f"{whole} {next_[:7]}", call), (f"{whole} {next_}", call), (f"{e} {next_}", f"{call}{a}{sep}{b}{sep}"), (f"{b}{sep}{e} {next_}", f"{call}{a}{sep}"),
+            (f"{b}{sep}{e} {next_[:7]}", f"{call}{a}{sep}"), (date, f"{call}{whole} "), (f"{e} {date}", f"{call}{a}{sep}{b}{sep}"),
+        ]
+        sets["number"] += [(m, c[-CONTEXT:], 0) for m, c in r.sample(wrong, 3)]
         at, dot = r.choice([(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", "."), (" at ", ".")])
         known = r.choice(["com", "org", "net"])
         sets["email"].append((f"{name()}.{name()}{at}{name()}{dot}{known}", r.choice(mails), 1))
@@ -176,20 +190,49 @@ def _as_kind(k: Column) -> Callable[[Column], Column]:
     return lambda x: F.struct(k.alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
-def _as_number(x: Column) -> Column:
+def _number_kind(x: Column) -> Column:
     """Thirteen digits or more are a card, fewer a telephone."""
-    return _as_kind(F.when(F.element_at(x["f"], 1) >= 13, KINDS.index("card")).otherwise(KINDS.index("phone")))(x)
+    return F.when(F.element_at(x["f"], 1) >= 13, KINDS.index("card")).otherwise(KINDS.index("phone"))
 
 
-def _selected(trees: list[boosting.Tree], cut: float) -> Callable[[Column], Column]:
-    return lambda x: boosting.as_sql(trees, lambda j: F.element_at(x["f"], j + 1)) >= cut
+def _number_candidates(x: Column) -> Column:
+    """Parts of a run: up to GROUPS digit groups from each group on, of 7 to 30 characters, overlapping."""
+    m = x["m"]
+    digit = lambda i: F.substring(m, i, F.lit(1)).between("0", "9")
+    places = F.sequence(F.lit(1), F.char_length(m))
+    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(F.greatest(i - 1, F.lit(1)))))
+    ends = F.filter(places, lambda i: digit(i) & ~digit(i + 1))
+    spans = F.zip_with(starts, ends, lambda a, b: F.struct((a - F.when((a > 1) & (F.substring(m, F.greatest(a - 1, F.lit(1)), F.lit(1)) == "("), 1).otherwise(0)).alias("a"), b.alias("b")))
+
+    def cut(all_: Column) -> Column:
+        parts = F.transform(all_, lambda g, i: F.transform(F.slice(all_, i + 1, F.lit(GROUPS)), lambda h: F.struct(g["a"].alias("a"), h["b"].alias("b"))))
+        fit = F.filter(F.flatten(parts), lambda h: (h["b"] - h["a"]).between(6, 29) & ~F.substring(m, h["b"] + 1, F.lit(1)).rlike("[A-Za-z]"))
+        made = F.transform(
+            fit,
+            lambda h: F.struct(
+                (x["s"] + h["a"] - 1).alias("s"), (x["s"] + h["b"]).alias("e"), F.substring(m, h["a"], h["b"] - h["a"] + 1).alias("m"),
+                F.right(F.concat(x["c"], F.lower(F.substring(m, F.greatest(h["a"] - CONTEXT, F.lit(1)), h["a"] - F.greatest(h["a"] - CONTEXT, F.lit(1))))), F.lit(CONTEXT)).alias("c"),
+            ),
+        )
+        return F.filter(made, lambda h: ~h["m"].rlike("[() .-]{4}"))
+
+    return bits.let(spans, cut)
+
+
+def _best(scored: Column) -> Column:
+    """Non-overlapping spans of arrays (score, s, e, k, mixed): those of one separator first, then by score, the longer, the first."""
+    order = F.array_sort(F.transform(scored, lambda x: F.struct(x["mixed"].alias("x"), (-x["score"]).alias("o"), (x["s"] - x["e"]).alias("l"), x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    none = F.array().cast("array<struct<k:int,s:int,e:int>>")
+    return F.aggregate(order, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), kept).otherwise(F.concat(kept, F.array(F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: id, base and all, arrays of (kind index in KINDS, s, e) in order; code points, e exclusive.
 
     Null and empty texts have no spans. Base spans stay whatever the model says;
-    a candidate that overlaps a base span is that span's and is not added.
+    a candidate that overlaps a base span is that span's and is not added. Of
+    overlapping candidates over their thresholds those of one separator go first,
+    then those of the highest score.
     Repeated rows and null ids are rows like others; other columns are ignored.
     """
     # A mark in the text itself would be taken for ours; U+0002 is as foreign to all patterns.
@@ -205,12 +248,16 @@ def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     base = F.concat(*[F.transform(f"b_{k}", _as_kind(F.lit(i))) for i, k in enumerate(KINDS)])
     df = df.withColumn("base", F.array_sort(base))
     free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    df = df.withColumn("g_number", F.flatten(F.transform("g_number", _number_candidates)))
     extra = []
     for g in GENERATORS:
-        scored = F.transform(F.filter(f"g_{g}", free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.array(*_features(x)).alias("f")))
-        good = F.filter(scored, _selected(*models()[g]))
-        extra.append(F.transform(good, _as_number if g == "number" else _as_kind(F.lit(KINDS.index(g)))))
-    return df.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", *extra))).alias("all"))
+        trees, cut = models()[g]
+        scored = F.transform(F.filter(f"g_{g}", free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["m"].rlike("[0-9] [0-9]") & x["m"].rlike("[0-9][.-][0-9]")).alias("mixed"), F.array(*_features(x)).alias("f")))
+        kind = _number_kind if g == "number" else lambda x, g=g: F.lit(KINDS.index(g))
+        over = lambda x, t=trees, c=cut: (boosting.as_sql(t, lambda j: F.element_at(x["f"], j + 1)) - c).cast("double")
+        df = df.withColumn(f"x_{g}", F.transform(scored, lambda x: F.struct(over(x).alias("score"), x["s"].alias("s"), x["e"].alias("e"), kind(x).alias("k"), x["mixed"].alias("mixed"))))
+        extra.append(F.filter(f"x_{g}", lambda x: x["score"] >= 0))
+    return df.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", _best(F.concat(*extra))))).alias("all"))
 
 
 def spelled(spans: Column) -> Column:

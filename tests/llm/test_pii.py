@@ -53,6 +53,13 @@ def test_model_adds_spans(spark):
     assert out == {1: "phone:11:25", 2: "", 3: "email:9:36"}
 
 
+def test_neighbouring_numbers(spark):
+    rows = [(1, "call 555-123-4567 555-987-6543", "a"), (2, "tel 555-123-4567 10.0.0.1", "a"), (3, "phone 555-123-4567 2021-05-01", "a")]
+    out = {x["doc_id"]: x["a"] for x in pii.find_spans(documents(spark, rows)).select("doc_id", pii.spelled("all").alias("a")).toArrow().to_pylist()}
+    assert {x for v in out.values() for x in v.split(",")} >= {"phone:5:17", "phone:18:30", "ip:17:25", "phone:4:16", "phone:6:18"}, out
+    assert "card" not in "".join(out.values())
+
+
 def test_features_agree(spark):
     from pyspark.sql import functions as F
 
