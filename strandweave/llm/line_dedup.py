@@ -1,9 +1,8 @@
 """Line deduplication with compressed per-document bitmaps.
 
 Lines become (key hash, document, position) rows. Distinct keys are counted
-with map-side combine; rows of frequent keys are range-partitioned by (hash,
-document descending, position), so even one hot key spreads over partitions,
-and streamed in order: the first document of a key keeps its lines. What
+with map-side combine, and the same aggregate gives the document that keeps a
+key's lines, so no sorted stream is needed. What
 travels back is a sparse bitmap of dropped positions per document, not text.
 DataFrame functions only.
 """
@@ -44,8 +43,7 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     each = rows.select("doc_id", "text_hash", F.posexplode("h").alias("pos", "k")).filter(F.col("k").isNotNull()).select("doc_id", "text_hash", "pos", "k.a", "k.b")
     frequent = materialise(each.join(maybe_broadcast(counts), ["a", "b"]), "frequent-rows")
     first = ~F.col("doc_id").eqNullSafe(F.col("holder"))
-    ordered = frequent.repartitionByRange("a", "b", F.col("doc_id").desc(), "pos").sortWithinPartitions("a", "b", F.col("doc_id").desc(), "pos")
-    lost = ordered.filter(first).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    lost = frequent.filter(first).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     words = F.array_distinct(F.transform("gone", lambda p: F.floor(p / 64).cast("int")))
     bits = F.transform(
         words,
