@@ -2,38 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a narrow side table (a few tens of bytes a row) may be broadcast; counted before, never assumed.
-BROADCAST_ROWS = 100_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/strandweave"
-
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+from ..scratch import is_small, materialise, maybe_broadcast, numbered, release, scratch_dir
 
-    This cuts lineage in a way that survives lost executors, and keeps a narrow
-    intermediate from being computed twice.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within limit; else left to shuffle joins."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+__all__ = ["added_names", "fresh", "is_small", "materialise", "maybe_broadcast", "numbered", "release", "scratch_dir", "table"]
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -45,5 +18,16 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def added_names(df: DataFrame, *names: str) -> list[str]:
+    """The names of columns to add, each with underscores appended while df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
