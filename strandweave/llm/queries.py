@@ -61,7 +61,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("all")).alias("spans")
+        "doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("all")).alias("spans"),
+        (F.size("all") - F.size("base")).cast("long").alias("n_added"),
     )
 
 
@@ -107,12 +108,18 @@ base AS (
   SELECT d.doc_id, source, coalesce(counted.n, 0) AS n_words, coalesce(counted.c, 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
   FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id)
-), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source),
-moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS sq FROM hosts),
-prior AS (SELECT m, CASE WHEN sq - m * m > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / (sq - m * m) - 1)) ELSE 1e6 END AS size FROM moments),
-bad AS (SELECT source, (f + size * m) / (n + size) >= 0.9 AS bad FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+), judged AS (
+  SELECT *, (n_words < 10)::INT AS few_words, (100 * n_repeat_words > 20 * n_words)::INT AS repeats, (100 * n_symbols > 10 * n_words)::INT AS symbols FROM base
+), hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(few_words)::DOUBLE AS few_words, sum(repeats)::DOUBLE AS repeats, sum(symbols)::DOUBLE AS symbols FROM judged GROUP BY source),
+rates AS (
+  SELECT source, n, 'few_words' AS rule, few_words AS f FROM hosts UNION ALL SELECT source, n, 'repeats', repeats FROM hosts UNION ALL SELECT source, n, 'symbols', symbols FROM hosts
+), moments AS (SELECT rule, sum(n) AS total, count(*) AS h, sum(n * n) AS nn, sum(f) / sum(n) AS m, sum(f * f / n) AS sq FROM rates GROUP BY rule),
+spread AS (SELECT *, m * (1 - m) AS v, total - nn / total - (h - 1) AS room FROM moments),
+beyond AS (SELECT *, CASE WHEN v > 0 AND room > 0 THEN ((sq - total * m * m) / v - (h - 1)) / room END AS r FROM spread),
+prior AS (SELECT *, CASE WHEN r > 0 THEN least(1e6, greatest(1.0, 1 / r - 1)) ELSE 1e6 END AS size FROM beyond),
+shrunk AS (SELECT source, n, size, (f + size * m) / (n + size) AS rate, least(0.5, greatest(0.3, m + 2 * sqrt(m * (1 - m) / (size + 1)))) AS lim FROM rates JOIN prior USING (rule)),
+bad AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + size + 1)) > lim) AS bad FROM shrunk GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words + repeats > 0 AS base_failed, few_words + repeats = 0 AND NOT bad AS kept
 FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 """,
     "op8_line_dedup": r"""
