@@ -1,12 +1,10 @@
-"""Small gradient-boosted trees, trained on the driver and scored as SQL expressions."""
+"""Small gradient-boosted trees, trained on the driver and scored as one SQL expression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: (feature, threshold, left, right); a leaf is a number. Left is feature <= threshold.
 Tree = tuple[int, float, "Tree", "Tree"] | float
@@ -39,6 +37,13 @@ def predict(tree: Tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, j] <= cut, predict(left, x), predict(right, x))
 
 
+def predict_one(tree: Tree, row: Sequence[float]) -> float:
+    while not isinstance(tree, float):
+        j, cut, left, right = tree
+        tree = left if row[j] <= cut else right
+    return tree
+
+
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.5) -> list[Tree]:
     """Trees whose sum is the log-odds of y, with the logistic loss's gradients."""
     trees, total = [], np.zeros(len(y))
@@ -51,23 +56,24 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest threshold on held-out scores at which the given precision is reached."""
+    """The lowest threshold on held-out scores at which the given precision is reached, halfway to the next lower score."""
     order = np.argsort(-scores, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     ok = np.flatnonzero(right >= precision)
-    return float(scores[order][ok[-1]]) if len(ok) else float("inf")
+    if not len(ok):
+        return float("inf")
+    least = scores[order][ok[-1]]
+    lower = scores[scores < least]
+    return float((least + lower.max()) / 2) if len(lower) else float(least)
 
 
-def as_sql(trees: list[Tree], feature: Callable[[int], Column]) -> Column:
-    """The trees' sum as a CASE expression of the features."""
+def as_sql(trees: list[Tree], feature: Callable[[int], str]) -> str:
+    """The trees' sum as an SQL expression of the features' expressions."""
 
-    def branch(tree: Tree) -> Column:
+    def branch(tree: Tree) -> str:
         if isinstance(tree, float):
-            return F.lit(tree)
+            return f"{tree!r}D"
         j, cut, left, right = tree
-        return F.when(feature(j) <= cut, branch(left)).otherwise(branch(right))
+        return f"CASE WHEN {feature(j)} <= {cut!r}D THEN {branch(left)} ELSE {branch(right)} END"
 
-    total = F.lit(0.0)
-    for tree in trees:
-        total = total + branch(tree)
-    return total
+    return " + ".join(["0.0D", *map(branch, trees)])

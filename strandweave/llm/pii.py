@@ -1,51 +1,40 @@
 """Personal data spans: base patterns, plus candidates selected by boosted trees.
 
-High-recall generators propose spans that the base patterns miss (telephone
-numbers without a plus, card numbers of other lengths, spelled-out addresses,
-IPv6). Boosted trees over format and context features score them; thresholds
-calibrated for precision per kind select. DataFrame functions only: every
-pattern marks its matches in one pass, and positions are running sums of piece
-lengths. All quantifiers are possessive or bounded, so no text backtracks.
+High-recall generators propose overlapping spans that the base patterns miss
+(telephone numbers without a plus, cards of other lengths or with a wrong check
+digit, spelled-out addresses, IPv6, keys and tokens). Boosted trees over format
+and context features, on both sides, score them; thresholds calibrated for
+precision per kind select. DataFrame functions only: every pattern marks its
+matches in one pass, and positions are running sums of piece lengths. All
+quantifiers are possessive or bounded, so no text backtracks.
 """
 
 from __future__ import annotations
 
-import functools
-import random
-import re
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from . import boosting
+from .pii_model import CONTEXT, GENERATORS, GROUPS, KINDS, LEFT, LOCAL, NUMBER_CHARS, NUMBER_DIGITS, RIGHT, models
 
-KINDS = ("email", "ip", "card", "phone")
-#: Precision on held-out candidates from which a threshold is taken.
-PRECISION = 0.98
+#: Kinds of base spans.
+BASE_KINDS = KINDS[:4]
 MARK = "\x01"
-CONTEXT = 24
-#: Digit groups of a number candidate at most.
-GROUPS = 5
-_LOCAL = "A-Za-z0-9._%+-"
-
 #: Leftmost non-overlapping matches as the plain patterns have them: \\G lets a match start where the last one ended.
 BASE = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-GENERATORS = {
-    "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]{{1,64}}+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{{1,63}}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]{{1,63}}){{1,8}}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    # A whole run of digit groups and, if one follows at once, a letter; _number_candidates proposes parts of it.
-    "number": r"(?<![0-9A-Za-z+])\(?[0-9][0-9() .-]*+[A-Za-z]?+",
-}
-FEATURES = ("digits", "length", "others", "luhn", "at_sign", "at_word", "dots", "groups", "paren", "colons", "c_phone", "c_card", "c_mail", "c_ip")
-WORDS = {"c_phone": r"tel|phone|call|fax|mobile|contact", "c_card": r"card|visa|credit|pay|account", "c_mail": r"mail|write|contact|send", "c_ip": r"ip|host|server|addr"}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lower(s: Column) -> Column:
+    return F.translate(s, UPPER, LOWER)
 
 
 def _running_starts(lens: Column) -> Column:
@@ -59,11 +48,11 @@ def _running_starts(lens: Column) -> Column:
 
 
 def _add_spans(df: DataFrame, text: str, pattern: str, name: str, only_if: Column | None = None) -> DataFrame:
-    """Add name: array of (s, e, m, c) of the pattern's matches; c is the text before, up to CONTEXT characters, lower-cased."""
+    """Add name: array of (s, e, m, c, r) of the pattern's matches; c and r are the text before and after, up to CONTEXT characters, to the next match, lower-cased."""
     marked = F.regexp_replace(F.col(text), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
     if only_if is not None:
         marked = F.when(only_if, marked).otherwise(F.lit(""))
-    kind = "array<struct<s:int,e:int,m:string,c:string>>"
+    kind = "array<struct<s:int,e:int,m:string,c:string,r:string>>"
     df = df.withColumn(f"{name}_p", F.split(marked, MARK, -1))
     some = F.size(f"{name}_p") > 1
     df = df.withColumn(f"{name}_l", F.when(some, F.transform(f"{name}_p", lambda x: F.char_length(x))))
@@ -75,7 +64,8 @@ def _add_spans(df: DataFrame, text: str, pattern: str, name: str, only_if: Colum
             F.element_at(at, i).alias("s"),
             (F.element_at(at, i) + F.element_at(size, i)).alias("e"),
             F.element_at(part, i).alias("m"),
-            F.lower(F.right(F.element_at(part, i - 1), F.lit(CONTEXT))).alias("c"),
+            _lower(F.right(F.element_at(part, i - 1), F.lit(CONTEXT))).alias("c"),
+            _lower(F.left(F.element_at(part, i + 1), F.lit(CONTEXT))).alias("r"),
         ),
     )
     return df.withColumn(name, F.coalesce(F.when(some, spans), F.array().cast(kind))).drop(f"{name}_p", f"{name}_l", f"{name}_s")
@@ -103,83 +93,17 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _features(x: Column) -> list[Column]:
-    m, c = x["m"], x["c"]
+def features(x: Column) -> list[Column]:
+    """Of a candidate (m, c, r), as pii_model.features_of has them."""
+    m, c, r = x["m"], x["c"], x["r"]
     count = lambda chars: F.char_length(m) - F.char_length(F.translate(m, chars, ""))
     flag = lambda b: F.when(b, 1).otherwise(0)
-    return [
-        count("0123456789"), F.char_length(m), F.char_length(m) - count("0123456789"), flag(_luhn(_digits(m))), flag(F.contains(m, F.lit("@"))),
-        flag(m.rlike(r"\(at\)|\[at\]| at ")), count("."), F.size(F.split(m, r"[^0-9]+")), count("("), count(":"),
-        *[flag(c.rlike(WORDS[k])) for k in FEATURES[10:]],
+    digits = count("0123456789")
+    shape = [
+        digits, F.char_length(m), F.char_length(m) - digits, flag(_luhn(_digits(m))), flag(F.contains(m, F.lit("@"))), flag(m.rlike(r"\(at\)|\[at\]| at ")), count("."), F.size(F.split(m, r"[^0-9]+")), count("("), count(":"),
+        count("+"), count(UPPER + LOWER), count(UPPER), flag(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), count("-"),
     ]
-
-
-def features_of(m: str, c: str) -> list[int]:
-    """The features of a candidate and the lower-cased text before it, as _features has them."""
-    d = re.sub("[^0-9]", "", m)
-    doubled = [int(x) * (1 + i % 2) for i, x in enumerate(reversed(d))]
-    luhn = bool(d) and sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
-    return [
-        len(d), len(m), len(m) - len(d), int(luhn), int("@" in m), int(bool(re.search(r"\(at\)|\[at\]| at ", m))), m.count("."), len(re.split("[^0-9]+", m)), m.count("("), m.count(":"),
-        *[int(bool(re.search(WORDS[k], c))) for k in FEATURES[10:]],
-    ]
-
-
-def _examples(seed: int, n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Labelled candidates by generator, made by rule: what people write, and look-alikes."""
-    r = random.Random(seed)
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    name = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
-
-    def card(k: int) -> str:
-        d = digits(k - 1)
-        return next(d + x for x in "0123456789" if features_of(d + x, "")[3])
-
-    calls, cards, mails, hosts = ["call me at ", "tel. ", "phone: ", "fax ", "mobile "], ["card ", "visa no. ", "credit card: "], ["mail ", "write to ", "e-mail: "], ["ip ", "host ", "server "]
-    plain = ["", "the ", "and so ", "version ", "on ", "order ", "page ", "between ", "total "]
-    sets: dict[str, list[tuple[str, str, int]]] = {"number": [], "email": [], "ip": []}
-    for _ in range(n):
-        a, b, e = digits(3), digits(3), digits(4)
-        phone = r.choice([f"({a}) {b}-{e}", f"{a}-{b}-{e}", f"{a}.{b}.{e}", f"{a} {b} {e}", f"0{digits(2)} {digits(4)} {digits(4)}"])
-        sets["number"].append((phone, r.choice(calls if r.random() < 0.7 or phone[0] != "(" else plain), 1))
-        sets["number"].append((card(r.choice([13, 14, 15])), r.choice(cards), 1))
-        other = r.choice([f"20{digits(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{digits(4)} - {digits(4)}", digits(r.randint(7, 20)), f"{digits(3)}.{digits(3)}.{digits(2)}", f"{digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"{a}-{b}-{e}", f"{a} {b} {e}"])
-        sets["number"].append((other, r.choice(plain), 0))
-        sets["number"].append((digits(16), r.choice(plain + cards[:1]), 0) if r.random() < 0.9 else (other, r.choice(plain), 0))
-        # Parts of a number, and neighbours taken as one, but for those that look like a whole number.
-        sep, next_ = r.choice("-. "), f"{digits(3)}-{digits(3)}-{digits(4)}"
-        whole, date = sep.join((a, b, e)), f"20{digits(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}"
-        call = r.choice(calls)
-        wrong = [
-            (f"{a}{sep}{b}", call), (f"{b}{sep}{e}", f"{call}{a}{sep}"), (f"{whole} {date[:4]}", call), (f"{whole} {date}", call),
-            (f"{whole} {next_[:3]}", call), (f"{whole} {next_[:7]}", call), (f"{whole} {next_}", call), (f"{e} {next_}", f"{call}{a}{sep}{b}{sep}"), (f"{b}{sep}{e} {next_}", f"{call}{a}{sep}"),
-            (f"{b}{sep}{e} {next_[:7]}", f"{call}{a}{sep}"), (date, f"{call}{whole} "), (f"{e} {date}", f"{call}{a}{sep}{b}{sep}"),
-        ]
-        sets["number"] += [(m, c[-CONTEXT:], 0) for m, c in r.sample(wrong, 3)]
-        at, dot = r.choice([(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", "."), (" at ", ".")])
-        known = r.choice(["com", "org", "net"])
-        sets["email"].append((f"{name()}.{name()}{at}{name()}{dot}{known}", r.choice(mails), 1))
-        sets["email"].append((f"{name()}{at if '(' in at or '[' in at else ' (at) '}{name()}{dot}{known}", r.choice(mails + plain), 1))
-        sets["email"].append((f"{name()} at {name()}.{name()}", r.choice(plain), 0))
-        sets["email"].append((f"{name()} at {name()} dot {name()}", r.choice(plain), 0))
-        hexes = lambda k: ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.randint(2, 4))) for _ in range(k))
-        sets["ip"].append((hexes(8), r.choice(hosts + plain), 1))
-        sets["ip"].append((hexes(r.randint(5, 7)), r.choice(hosts), 1))
-        sets["ip"].append((":".join(digits(2) for _ in range(4)), r.choice(plain), 0))
-        sets["ip"].append((hexes(4), r.choice(plain), 0))
-    return {k: (np.array([features_of(m, c) for m, c, _ in v], float), np.array([y for *_, y in v], float)) for k, v in sets.items()}
-
-
-@functools.cache
-def models(seed: int = 11, n: int = 300) -> dict[str, tuple[list[boosting.Tree], float]]:
-    """Per generator, its trees and threshold; trained here on rule-made examples, calibrated on others."""
-    fit, held = _examples(seed, n), _examples(seed + 1, n)
-    found = {}
-    for k, (x, y) in fit.items():
-        trees = boosting.train(x, y)
-        scores = sum(boosting.predict(t, held[k][0]) for t in trees)
-        found[k] = trees, max(0.0, boosting.calibrate(scores, held[k][1], PRECISION))
-    return found
+    return [*shape, *[flag(c.rlike(p)) for p in LEFT.values()], *[flag(r.rlike(p)) for p in RIGHT.values()]]
 
 
 def _valid_span(kind: str) -> Callable[[Column], Column]:
@@ -190,31 +114,29 @@ def _as_kind(k: Column) -> Callable[[Column], Column]:
     return lambda x: F.struct(k.alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
-def _number_kind(x: Column) -> Column:
-    """Thirteen digits or more are a card, fewer a telephone."""
-    return F.when(F.element_at(x["f"], 1) >= 13, KINDS.index("card")).otherwise(KINDS.index("phone"))
-
-
 def _number_candidates(x: Column) -> Column:
-    """Parts of a run: up to GROUPS digit groups from each group on, of 7 to 30 characters, overlapping."""
+    """Overlapping parts of a run of digit groups, as pii_model.number_parts has them."""
     m = x["m"]
     digit = lambda i: F.substring(m, i, F.lit(1)).between("0", "9")
     places = F.sequence(F.lit(1), F.char_length(m))
     starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(F.greatest(i - 1, F.lit(1)))))
     ends = F.filter(places, lambda i: digit(i) & ~digit(i + 1))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct((a - F.when((a > 1) & (F.substring(m, F.greatest(a - 1, F.lit(1)), F.lit(1)) == "("), 1).otherwise(0)).alias("a"), b.alias("b")))
+    signed = lambda a: (a > 1) & F.substring(m, F.greatest(a - 1, F.lit(1)), F.lit(1)).isin("(", "+")
+    spans = F.zip_with(starts, ends, lambda a, b: F.struct((a - F.when(signed(a), 1).otherwise(0)).alias("a"), b.alias("b")))
 
     def cut(all_: Column) -> Column:
         parts = F.transform(all_, lambda g, i: F.transform(F.slice(all_, i + 1, F.lit(GROUPS)), lambda h: F.struct(g["a"].alias("a"), h["b"].alias("b"))))
-        fit = F.filter(F.flatten(parts), lambda h: (h["b"] - h["a"]).between(6, 29) & ~F.substring(m, h["b"] + 1, F.lit(1)).rlike("[A-Za-z]"))
+        fit = F.filter(F.flatten(parts), lambda h: (h["b"] - h["a"] + 1).between(*NUMBER_CHARS) & ~F.substring(m, h["b"] + 1, F.lit(1)).rlike("[A-Za-z]"))
+        before = lambda h: F.concat(x["c"], _lower(F.left(m, h["a"] - 1)))
+        after = lambda h: F.concat(_lower(F.substring(m, h["b"] + 1, F.char_length(m))), x["r"])
         made = F.transform(
             fit,
             lambda h: F.struct(
                 (x["s"] + h["a"] - 1).alias("s"), (x["s"] + h["b"]).alias("e"), F.substring(m, h["a"], h["b"] - h["a"] + 1).alias("m"),
-                F.right(F.concat(x["c"], F.lower(F.substring(m, F.greatest(h["a"] - CONTEXT, F.lit(1)), h["a"] - F.greatest(h["a"] - CONTEXT, F.lit(1))))), F.lit(CONTEXT)).alias("c"),
+                F.right(before(h), F.lit(CONTEXT)).alias("c"), F.left(after(h), F.lit(CONTEXT)).alias("r"),
             ),
         )
-        return F.filter(made, lambda h: ~h["m"].rlike("[() .-]{4}"))
+        return F.filter(made, lambda h: ~h["m"].rlike("[() .-]{4}") & F.char_length(_digits(h["m"])).between(*NUMBER_DIGITS))
 
     return bits.let(spans, cut)
 
@@ -232,8 +154,10 @@ def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Null and empty texts have no spans. Base spans stay whatever the model says;
     a candidate that overlaps a base span is that span's and is not added. Of
     overlapping candidates over their thresholds those of one separator go first,
-    then those of the highest score.
-    Repeated rows and null ids are rows like others; other columns are ignored.
+    then those of the highest score over the threshold. Repeated rows and null
+    ids are rows like others; other columns are ignored. An empty table gives
+    an empty result. A very long text is one row: patterns pass over it once,
+    and the work on a number run grows with the square of its length.
     """
     # A mark in the text itself would be taken for ours; U+0002 is as foreign to all patterns.
     df = docs.select(F.col(id_col).alias("doc_id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, "\x02").alias("t"))
@@ -242,20 +166,22 @@ def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     for kind, pattern in BASE.items():
         df = _add_spans(df, "t", pattern, f"b_{kind}", gates[kind])
         df = df.withColumn(f"b_{kind}", F.filter(f"b_{kind}", _valid_span(kind)))
-    tests = {"email": F.col("t").rlike(r"@| at |\(at\)|\[at\]"), "ip": F.col("t").contains(":"), "number": number}
+    tests = {"email": F.col("t").rlike(r"@| at |\(at\)|\[at\]"), "ip": F.col("t").contains(":"), "number": number, "secret": number}
     for g, pattern in GENERATORS.items():
         df = _add_spans(df, "t", pattern, f"g_{g}", tests[g])
-    base = F.concat(*[F.transform(f"b_{k}", _as_kind(F.lit(i))) for i, k in enumerate(KINDS)])
+    base = F.concat(*[F.transform(f"b_{k}", _as_kind(F.lit(i))) for i, k in enumerate(BASE_KINDS)])
     df = df.withColumn("base", F.array_sort(base))
     free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     df = df.withColumn("g_number", F.flatten(F.transform("g_number", _number_candidates)))
     extra = []
     for g in GENERATORS:
         trees, cut = models()[g]
-        scored = F.transform(F.filter(f"g_{g}", free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["m"].rlike("[0-9] [0-9]") & x["m"].rlike("[0-9][.-][0-9]")).alias("mixed"), F.array(*_features(x)).alias("f")))
-        kind = _number_kind if g == "number" else lambda x, g=g: F.lit(KINDS.index(g))
-        over = lambda x, t=trees, c=cut: (boosting.as_sql(t, lambda j: F.element_at(x["f"], j + 1)) - c).cast("double")
-        df = df.withColumn(f"x_{g}", F.transform(scored, lambda x: F.struct(over(x).alias("score"), x["s"].alias("s"), x["e"].alias("e"), kind(x).alias("k"), x["mixed"].alias("mixed"))))
+        mixed = lambda x: x["m"].rlike("[0-9] [0-9]") & x["m"].rlike("[0-9][.-][0-9]")
+        scored = F.transform(F.filter(f"g_{g}", free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), mixed(x).alias("mixed"), F.array(*features(x)).alias("f")))
+        kind = f"CASE WHEN x.f[0] >= 13 THEN {KINDS.index('card')} ELSE {KINDS.index('phone')} END" if g == "number" else str(KINDS.index(g))
+        over = f"{boosting.as_sql(trees, lambda j: f'x.f[{j}]')} - {cut!r}D"
+        df = df.withColumn(f"f_{g}", scored)
+        df = df.withColumn(f"x_{g}", F.expr(f"transform(f_{g}, x -> struct({over} AS score, x.s AS s, x.e AS e, {kind} AS k, x.mixed AS mixed))"))
         extra.append(F.filter(f"x_{g}", lambda x: x["score"] >= 0))
     return df.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", _best(F.concat(*extra))))).alias("all"))
 
