@@ -48,7 +48,7 @@ class Vocabulary:
 
     @functools.cached_property
     def ranks(self) -> dict[bytes, int]:
-        with open(self.path, "rb") as f:
+        with open(self.path if "/" in self.path else _public(self.path), "rb") as f:
             return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
     @functools.cached_property
@@ -86,10 +86,17 @@ class Vocabulary:
         return data[np.arange(int(size.sum())) + np.repeat(start[at] - shift, size)].tobytes()
 
 
+def _public(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def default_vocabulary() -> tuple[str, str]:
+    """A name without a folder is looked up where it is read: by each worker in its own installation."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 
 
 def boundaries(pattern, text: str, last: bool) -> tuple[list[int], list[int]]:
@@ -153,8 +160,9 @@ def encode_documents(
 
     As the tiktoken library encodes, without special tokens. Null and empty
     texts have no ids. Each row is encoded by itself, so ties, repeated rows
-    and null ids in other columns don't matter; every column stays. Texts of
-    at most chunk + OVERLAP characters are one chunk and never move.
+    and null ids in other columns don't matter; every column stays. An empty
+    table gives an empty result. Texts of at most chunk + OVERLAP characters
+    are one chunk and never move; longer ones are cut and stitched.
     """
     path, pattern = vocabulary or default_vocabulary()
     ids = "ids"
@@ -208,7 +216,10 @@ def decode_documents(coded: DataFrame, ids_col: str = "ids", vocabulary: tuple[s
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", vocabulary: tuple[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """docs without their text, with ids and what they decode to; as encode_documents and decode_documents, in one pass over short texts."""
+    """docs without their text, with ids and what they decode to; as encode_documents and decode_documents, in one pass over short texts.
+
+    Nulls, empty and very long texts, repeated rows and empty tables as there.
+    """
     path, pattern = vocabulary or default_vocabulary()
     rest = [c for c in docs.columns if c != text_col]
     n = F.char_length(F.coalesce(F.col(text_col), F.lit("")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     while not _shape(edges):
-        edges = materialise(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, materialise(_small_star(_large_star(edges)), "stars")
+        release(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

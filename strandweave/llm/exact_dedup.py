@@ -80,7 +80,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest id stays. Null text counts as empty; empty and white texts are
     one group. A null id loses to every other id. Rows that repeat one id and
     text are one document: they share its fate, and each counts in group_size.
-    Other columns are ignored. An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result. A very long
+    text is digested whole, in one pass.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"), digest(F.col(text_col)).alias("text_sha256")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast
+from .common import added_names, fresh, maybe_broadcast
 
 #: (host, path prefix, verdict). Fixed values.
 RULES = [
@@ -23,6 +23,8 @@ RULES = [
 DEFAULT_VERDICT = "allow"
 #: Hex digits of the digest that the join compares: 4 bytes.
 SHORT = 8
+#: Groups that the URLs of a host are judged in.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +58,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     the longest rule (host and path together) wins, then the longer host, then
     block before allow. A null URL or one without :// has empty host and path
     and gets the default verdict. Rules with a null part are ignored, repeated
-    ones count once. Repeated URL rows are judged alike; each row stays.
+    ones count once. Repeated URL rows are judged alike; each row stays. An
+    empty table gives an empty result. A very long URL has as many expressions
+    as rules have host depths and path lengths, whatever its labels.
     """
     rules = (
         rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
@@ -66,30 +70,29 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
         .withColumn("short", F.substring("r_digest", 1, SHORT))
     )
-    # Lengths of rule paths: as many as there are distinct lengths, at most the longest URL.
-    seen = rules.agg(F.array_sort(F.collect_set(F.char_length("r_path"))).alias("n"), F.count("*").alias("rows")).first()
+    # Host depths and path lengths that rules have: as many as there are different ones.
+    labels = lambda c: F.size(F.split(c, r"\."))
+    seen = rules.agg(F.array_sort(F.collect_set(F.char_length("r_path"))).alias("n"), F.array_sort(F.collect_set(labels("r_host"))).alias("deep")).first()
     lengths, longest = seen["n"] or [0], max(seen["n"] or [0])
-    h, p, cut, kh, kc, won = (fresh(urls, x) for x in ("host", "path", "cut", "k_host", "k_cut", "won"))
-    parsed = urls.withColumns({h: host_of(F.col(url_col)), p: path_of(F.col(url_col))}).withColumn(cut, F.substring(p, 1, longest))
-    keys = parsed.select(F.col(h).alias("k_host"), F.col(cut).alias("k_cut")).distinct()
-    labels = F.split("k_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    h, p, cut, salt, kh, kc, ks, won = (fresh(urls, x) for x in ("host", "path", "cut", "salt", "k_host", "k_cut", "k_salt", "won"))
+    parsed = urls.withColumns({h: host_of(F.col(url_col)), p: path_of(F.col(url_col))})
+    # A host of very many URLs is judged once in each of SALTS groups, so its rows spread over as many tasks.
+    parsed = parsed.withColumns({cut: F.substring(p, 1, longest), salt: F.pmod(F.xxhash64(F.col(url_col)), F.lit(SALTS)).cast("int")})
+    keys = parsed.select(F.col(h).alias("k_host"), F.col(cut).alias("k_cut"), F.col(salt).alias("k_salt")).distinct()
+    suffixes = F.array(*[F.when(labels("k_host") >= n, F.substring_index("k_host", ".", -n)) for n in seen["deep"]]).cast("array<string>")
+    suffixes = F.filter(suffixes, lambda x: x.isNotNull())
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("k_cut")), lambda n: F.substring(F.col("k_cut"), F.lit(1), n))
     expressions = (
-        keys.select("k_host", "k_cut", F.explode(suffixes).alias("e_host"), prefixes.alias("e_paths"))
-        .select("k_host", "k_cut", "e_host", F.explode("e_paths").alias("e_path"))
+        keys.select("k_host", "k_cut", "k_salt", F.explode(suffixes).alias("e_host"), prefixes.alias("e_paths"))
+        .select("k_host", "k_cut", "k_salt", "e_host", F.explode("e_paths").alias("e_path"))
         .withColumn("e_digest", _digest(F.col("e_host"), F.col("e_path")))
         .withColumn("short", F.substring("e_digest", 1, SHORT))
     )
-    fit = expressions.join(maybe_broadcast(rules, seen["rows"]), "short").filter(F.col("e_digest") == F.col("r_digest"))
+    fit = expressions.join(maybe_broadcast(rules), "short").filter(F.col("e_digest") == F.col("r_digest"))
     rank = F.struct(F.char_length(F.concat("r_host", "r_path")).alias("n"), F.char_length("r_host").alias("m"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))
-    verdicts = fit.groupBy(F.col("k_host").alias(kh), F.col("k_cut").alias(kc)).agg(F.max(rank).alias(won))
-    joined = parsed.join(verdicts, (F.col(h) == F.col(kh)) & (F.col(cut) == F.col(kc)), "left")
-    names = {}
-    for n in ("host", "path", "rule", "verdict"):
-        while n.lower() in {c.lower() for c in urls.columns} | set(names.values()):
-            n += "_"
-        names[n.rstrip("_")] = n
+    verdicts = fit.groupBy(F.col("k_host").alias(kh), F.col("k_cut").alias(kc), F.col("k_salt").alias(ks)).agg(F.max(rank).alias(won))
+    joined = parsed.join(verdicts, (F.col(h) == F.col(kh)) & (F.col(cut) == F.col(kc)) & (F.col(salt) == F.col(ks)), "left")
+    names = dict(zip(("host", "path", "rule", "verdict"), added_names(urls, "host", "path", "rule", "verdict"), strict=True))
     return joined.select(
         *[F.col(f"`{c}`") for c in urls.columns],
         F.col(h).alias(names["host"]),
