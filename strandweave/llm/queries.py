@@ -35,7 +35,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = license_scan.scan_licenses(docs, license_scan.fit(docs))
     sure = F.filter("hits", lambda h: h["confirmed"])
     return scanned.select(
         "doc_id", "n_paragraphs", F.size("hits").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
