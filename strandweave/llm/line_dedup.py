@@ -24,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Documents of a key that one part streams about.
-RUN = 100_000
+RUN = 1_000
 #: Bits of the sieve for each document that loses lines, and bits at most: 32 MB is what its broadcast takes at any size.
 SIEVE_BITS, SIEVE_MOST = 16, 1 << 28
 #: A word of 64 kept lines.

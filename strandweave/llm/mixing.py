@@ -23,7 +23,7 @@ WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 SEED = 42
 #: Rows that the sorted bin of a source holds at most; bins that a round cuts a range of keys into.
-BIN_ROWS, BINS = 20_000, 1024
+BIN_ROWS, BINS = 4_000, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
