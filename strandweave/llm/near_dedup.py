@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text, or one without words, has an empty set, links with
     nothing and stays. Fewer than five words: the whole sequence is the one
-    shingle. Rows that repeat an id are one document: their texts link. A null
-    id is never a class's id: such rows go with a named document of equal
+    shingle. Rows that repeat an id each go by their own text; texts that no
+    lesser id has are one node under it. A null id is never a class's id: such rows go with a named document of equal
     shingles, else stay by themselves with a null class. An empty table gives an
     empty result. Other columns are ignored. A very long text is one row: its
     set is made in memory of a few times its size.

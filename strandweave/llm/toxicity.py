@@ -28,7 +28,7 @@ VOCABULARY = 2048
 #: Rows a word must be in, and its least score, to be a candidate.
 MIN_ROWS, MIN_Z = 5, 3.5
 BUCKETS = 1 << 22
-#: Swapped versions of a text that mentions a group.
+#: Versions of a text that mentions a group, with its terms swapped for others; one more has neutral words instead.
 SWAPS = 2
 #: Weight of the counterfactual penalty; ridge.
 SWAP_PENALTY, RIDGE = 1.0, 2e-4
@@ -58,6 +58,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int32)
 
 
+def buckets_of_words(terms: list[str]) -> np.ndarray:
+    """Sorted buckets of bare words."""
+    return np.unique(_bucket(_bare(next(slices(pa.array([" ".join(terms)])))).hash))
+
+
 @functools.cache
 def identity_terms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes of the terms; for each, where its kinds start in a list of hashes and how many they are; that list.
@@ -77,7 +82,9 @@ def word_buckets(t: Texts) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Per row of a slice, the sorted distinct buckets of its lower-cased bare words, and the same of each swapped version.
 
     Every identity term of a text is swapped, all places of a term alike; which
-    other term it becomes depends on the text and the version only.
+    other term it becomes depends on the text and the version only. The last
+    version has a neutral word, which is no feature, in place of each term: else
+    all terms could rise together.
     """
     w = _bare(t)
     known, spans, others = identity_terms()
@@ -89,12 +96,13 @@ def word_buckets(t: Texts) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         swapped = []
         if mine.any():
             term = at[a:b][mine]
-            salt = np.uint64(int(own.sum(dtype=np.uint64)))
+            salt = mix(own.sum(dtype=np.uint64, keepdims=True) + np.arange(1, SWAPS + 1, dtype=np.uint64))
             for k in range(SWAPS):
-                pick = mix(known[term] ^ mix(salt + np.uint64(k + 1)))
+                pick = mix(known[term] ^ salt[k])
                 new = own.copy()
                 new[mine] = others[spans[0][term] + (pick % spans[1][term].astype(np.uint64)).astype(np.int64)]
                 swapped.append(np.unique(_bucket(new)))
+            swapped.append(np.unique(_bucket(own[~mine])))
         yield np.unique(_bucket(own)), swapped
 
 

@@ -1,28 +1,56 @@
+import base64
+import struct
+from collections import Counter
+
+import pytest
+
 import corpus_pipeline
 from strandweave.llm import near_dedup, queries
 
-from .helpers import corpus, documents, near_classes
+from .helpers import bad_host, corpus, digest, documents, line_stage, mix_times, near_stage, quality_stage
+
+
+@pytest.fixture(scope="module")
+def encode():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def test_stages(spark, tmp_path):
-    rows = corpus()
+def rows_of(df):
+    return Counter((r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect())
+
+
+def test_stages_against_brute_force(spark, tmp_path, encode):
+    """Each stage on what the one before kept, and the whole run."""
+    rows = bad_host(corpus())
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    seen = [docs]
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, seen[-1], str(tmp_path))
-        if i + 1 < len(corpus_pipeline.STAGES):
-            assert out.columns == docs.columns
+    brute = {"quality_rules": quality_stage, "line_dedup": line_stage, "near_dedup": near_stage, "source_mixing": lambda x: [r for r, n in zip(x, mix_times(x), strict=True) for _ in range(n)]}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / f"s{i}"))
-        seen.append(spark.read.parquet(str(tmp_path / f"s{i}")))
-    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    assert ids(seen[1]) < ids(docs) and ids(seen[2]) == ids(seen[1])
-    left = [(r["doc_id"], r["text"], r["source"]) for r in seen[2].collect()]
-    want = near_classes(left)
-    assert ids(seen[3]) - {None} == {i for i, (_, c) in want.items() if i == c}
-    assert ids(seen[4]) <= ids(seen[3])
-    run = corpus_pipeline.run(spark, str(tmp_path)).toArrow().to_pylist()
-    assert sorted(map(str, run)) == sorted(map(str, seen[5].toArrow().to_pylist())) and all(r["n_tokens"] > 0 for r in run)
+        out = spark.read.parquet(str(tmp_path / f"s{i}"))
+        if name in brute:
+            before, rows = rows, brute[name](rows)
+            assert out.columns == docs.columns and rows_of(out) == Counter(rows), name
+            assert rows and Counter(rows) != Counter(before), name
+        docs = out
+    want = Counter()
+    for doc_id, text, source in rows:
+        ids = encode(text or "")
+        want[doc_id, source, len(ids), struct.pack(f"<{len(ids)}I", *ids), digest((text or "").encode())] += 1
+    run = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"], bytes(r["ids"]), r["decoded_sha256"]) for r in run) == want
+
+
+def test_lengths_follow_texts(spark, tmp_path):
+    docs = documents(spark, corpus())
+    out = corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
 def test_empty(spark, tmp_path):
@@ -42,4 +70,4 @@ def test_near_stage_decides_by_row(spark):
     rows = [(3, words(0), "a"), (4, words(1), "a"), (5, words(0), "a"), (5, words(2), "a"), (None, words(1), "a"), (None, words(3), "b"), (None, words(4), None), (None, None, "a"), (6, None, "a")]
     kept = near_dedup.keep_one(documents(spark, rows))
     want = [rows[i] for i in (0, 1, 3, 5, 6, 7, 8)]
-    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert rows_of(kept) == Counter(want) == Counter(near_stage(rows))
