@@ -1,4 +1,4 @@
-"""Column functions over bit strings, digits and plain strings. JVM-side throughout."""
+"""Column functions over bit strings, digits and plain strings. JVM-side but for the byte kernels."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kernels import bits_to_bytes, bytes_to_bits  # noqa: F401
+
 HEX = "0123456789abcdef"
 
 
@@ -22,12 +24,6 @@ def replace_digits(hexed: Column, codes: list[str]) -> Column:
     return hexed
 
 
-def bytes_to_bits(content: Column) -> Column:
-    """Big-endian bits of bytes. Digits pass through letters, so no code is taken for a digit."""
-    marked = replace_digits(F.lower(F.hex(content)), [f"{i:04b}".replace("0", "x").replace("1", "y") for i in range(16)])
-    return F.translate(marked, "xy", "01")
-
-
 def bits_to_hex(bits: Column) -> Column:
     """Hex digits of a bit string, right-padded with 0 to a multiple of four; 32 bits at a time."""
 
@@ -39,11 +35,6 @@ def bits_to_hex(bits: Column) -> Column:
     return F.array_join(F.transform(pieces(whole, 32), block), "")
 
 
-def bits_to_bytes(bits: Column) -> Column:
-    """Bytes of a bit string whose length is a multiple of eight; null for other lengths."""
-    return let(bits, lambda b: F.when(F.char_length(b) % 8 == 0, F.unhex(bits_to_hex(b))))
-
-
 def digits(n: Column, base: int, width: int) -> Column:
     """n in the base, big-endian, exactly width digits: padded with 0, cut on the left."""
     full = F.lower(F.conv(n.cast("string"), 10, base))

@@ -1,4 +1,4 @@
-"""Column functions over nucleotide strings. JVM-side throughout."""
+"""Column functions over nucleotide strings. JVM-side but for the byte kernels."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bits import bits_to_hex, let, pieces, replace_digits
+from .kernels import bytes_to_dna, dna_to_bytes
 
 #: Two bits a base, in counting order of each mapping. Fixed values.
 DENSE = "AGCT"
@@ -80,12 +81,6 @@ def stable_end(s: Column, tail: int = 8, run: int = 4) -> Column:
     return ~F.right(s, F.lit(tail)).rlike("|".join(b * run for b in "ACGT"))
 
 
-def bytes_to_dna(content: Column, order: str = DENSE) -> Column:
-    """Four bases a byte, big-endian; order has the bases of 00, 01, 10, 11."""
-    codes = [order[i >> 2] + order[i & 3] for i in range(16)]
-    return replace_digits(F.lower(F.hex(content)), codes)
-
-
 def dna_to_hex(dna: Column, order: str = DENSE) -> Column:
     """Hex digits of base pairs, 16 bases at a time; an odd last base is padded with 0."""
 
@@ -97,11 +92,6 @@ def dna_to_hex(dna: Column, order: str = DENSE) -> Column:
     return F.array_join(F.transform(pieces(whole, 16), block), "")
 
 
-def dna_to_bytes(dna: Column, order: str = DENSE) -> Column:
-    """Null if the strand isn't whole bytes of ACGT."""
-    return let(dna, lambda s: F.when((F.char_length(s) % 4 == 0) & ((s == "") | valid(s)), F.unhex(dna_to_hex(s, order))))
-
-
 def pack(dna: Column) -> Column:
     """Two bits a base in a binary column, zero-filled to whole bytes; keep the length beside it."""
     return let(dna, lambda s: F.unhex(dna_to_hex(F.rpad(s, (F.ceil(F.char_length(s) / 4) * 4).cast("int"), F.lit("A")), PACKED)))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, rng
+from ..functions.kernels import column_of, flat
 
 BASES = "ACGT"
 #: Decay per base and year. Fixed values.
@@ -41,6 +42,20 @@ def store(reads: DataFrame, condition: str, years: float, seed: int = 0, seq: st
     return reads.filter(u > 1 - survival(F.char_length(seq), years, DECAY[condition]))
 
 
+def strand_breaks(reads: DataFrame, condition: str, years: float, seed: int, *by: str) -> DataFrame:
+    """by, n_broken, n_strands: how many strands store() loses of each group."""
+    u = rng.uniform(seed, "store", condition, *[F.col(c) for c in ("payload_id", "strand_idx", "copy_no")])
+    broken = ~(u > 1 - survival(F.char_length("dna"), years, DECAY[condition]))
+    return reads.groupBy(*by).agg(F.count_if(broken).alias("n_broken"), F.count("*").alias("n_strands"))
+
+
+def ensure_survivors(reads: DataFrame) -> DataFrame:
+    """reads, or an error where storage has left none."""
+    if reads.isEmpty():
+        raise ValueError("all strands have decayed")
+    return reads
+
+
 def store_chain(reads: DataFrame, stages: list[tuple[str, float]], seed: int = 0, seq: str = "dna") -> DataFrame:
     """Stages one after another. Decisions are independent, so all filters run in one pass."""
     return reduce(lambda df, s: store(df, s[1][0], s[1][1], seed + s[0], seq), enumerate(stages), reads)
@@ -153,10 +168,57 @@ def indel(g: np.random.Generator, seq: str, p_ins: float, p_del: float, p_sub: f
     return "".join(out), edits
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def indel_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, p_ins: float, p_del: float, p_sub: float, slope: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """indel() for a whole batch: bytes and bounds of the reads, a 64-bit key each -> bytes, bounds and edits of the mutated ones.
+
+    Every draw is a hash of the read's key and the base's place.
+    """
+    size = np.diff(bounds)
+    place = np.arange(len(data)) - np.repeat(bounds[:-1], size)
+    base_key = np.repeat(keys, size) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one, two = _mixed(base_key), _mixed(base_key ^ np.uint64(0xD1B54A32D192ED03))
+    low = np.uint64(0xFFFFFFFF)
+    chance = lambda h, p: h.astype(np.float64) < p * 2.0**32
+    ins, gone = chance(one >> np.uint64(32), p_ins), chance(one & low, p_del)
+    rate = p_sub * place / np.repeat(np.maximum(size, 1), size) if slope else p_sub
+    sub = chance(two >> np.uint64(32), rate) & ~gone
+    letters = np.frombuffer(BASES.encode(), np.uint8)
+    code = np.zeros(256, np.uint8)
+    code[letters] = range(4)
+    extra = letters[(two & np.uint64(3)).astype(np.int64)]
+    other = letters[(code[data] + 1 + ((two >> np.uint64(2)) & low) % np.uint64(3)).astype(np.int64) & 3]
+    out = np.where(sub, other, data)
+    # Two slots a base: what is inserted before it, and the base; used ones stay.
+    slots, used = np.stack((extra, out), axis=1).reshape(-1), np.stack((ins, ~gone), axis=1).reshape(-1)
+    upto = np.concatenate(([0], np.cumsum(used)))[2 * bounds]
+    events = np.flatnonzero(np.stack((ins, gone | sub), axis=1).reshape(-1))
+    at, second = events // 2, events % 2 == 1
+    mode = np.where(second, np.where(gone[at], 1, 2), 0)
+    modes = pa.DictionaryArray.from_arrays(pa.array(mode, pa.int8()), ["insertion", "deletion", "mismatch"]).cast(pa.string())
+    base = lambda x, keep: pa.DictionaryArray.from_arrays(pa.array(np.where(keep, code[x], 4), pa.int8()), [*BASES, ""]).cast(pa.string())
+    pieces = [modes, pa.array(place[at], pa.int32()), base(data[at], mode > 0), base(np.where(mode == 0, extra[at], out[at]), mode != 1)]
+    ends = np.searchsorted(at, bounds).astype(np.int32)
+    return slots[used], upto, pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pieces, fields=list(_EDIT)))
+
+
 def channel_indel(reads: DataFrame, p_ins: float, p_del: float, p_sub: float, seed: int = 0, slope: bool = False) -> DataFrame:
-    """reads with mutated STRUCT<seq, edits>. Illumina: 1e-6, 1e-6, sloped 0.01; nanopore: 0.01, 0.01, sloped 0.01."""
-    run = _with_rng(lambda g, s: indel(g, s, p_ins, p_del, p_sub, slope), seed, EDITS, _edited)
-    return reads.withColumn("mutated", run("dna", "payload_id", "strand_idx", "copy_no"))
+    """reads with mutated STRUCT<seq, edits>, vectorised over batches. Illumina: 1e-6, 1e-6, sloped 0.01; nanopore: 0.01, 0.01, sloped 0.01."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for seqs, keys in batches:
+            data, bounds, _ = flat(seqs)
+            out, ends, edits = indel_batch(data, bounds, _mixed(keys.to_numpy(zero_copy_only=False).view(np.uint64)), p_ins, p_del, p_sub, slope)
+            yield pa.StructArray.from_arrays([column_of(out, ends, None, pa.string()), edits], names=["seq", "edits"])
+
+    key = F.xxhash64(F.lit(seed), F.lit("indel"), "payload_id", "strand_idx", "copy_no")
+    return reads.withColumn("mutated", F.arrow_udf(run, EDITS)(F.coalesce(F.col("dna"), F.lit("")), key))
 
 
 def homopolymer_slips(reads: DataFrame, rate: float, seed: int = 0) -> DataFrame:

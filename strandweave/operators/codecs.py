@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, nt
+from ..functions import bits, kernels, nt
 from ..plans.codec_plan import StrandPlan, index_length
+from . import word_ecc
 
 QUADS = "0123"
 
@@ -21,71 +22,89 @@ def ordered_concat(rows: DataFrame, keys: list[str], order: str, value: str, out
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias(out))
 
 
-# max density -----------------------------------------------------------------------------------
+# strands of digits: max density (two bits a base) and no homopolymers (one bit a base) -----------
 
+#: Digits of a word by bits per base, and the bases that a strand's digits are read from.
+DIGITS = {1: "01", 2: QUADS}
 
-def encode_max_density(payload: DataFrame, plan: StrandPlan) -> DataFrame:
-    """payload -> strand. Barcode (base-4 ordinal), header (bits of a partial last block, else 0), left-padded block.
 
-    Null and empty contents give no strand.
-    """
-    m = plan.message
-    cut = payload.select("payload_id", F.posexplode(bits.pieces(nt.bytes_to_dna(F.col("content")), m)).alias("strand_idx", "part"))
+def _words(payload: DataFrame, plan: StrandPlan) -> DataFrame:
+    """payload -> payload_id, strand_idx, word: header (bits of a partial last block, else 0), then the left-padded block, as digits."""
+    b = plan.bits_per_base
+    k = plan.payload_bits // b
+    digits = kernels.bytes_to_dna(F.col("content"), QUADS) if b == 2 else kernels.bytes_to_bits(F.col("content"))
+    cut = payload.select("payload_id", F.posexplode(bits.pieces(digits, k)).alias("strand_idx", "part"))
     short = F.char_length("part")
-    header = F.when(short < m, short * 2).otherwise(F.lit(0))
-    number = lambda n, width: F.translate(bits.digits(n, 4, width), QUADS, nt.DENSE)
-    return cut.select(
-        "payload_id", "strand_idx", F.concat(number(F.col("strand_idx"), plan.barcode), number(header, plan.header), F.lpad("part", m, nt.DENSE[0])).alias("dna")
-    )
+    header = F.when(short < k, short * b).otherwise(F.lit(0))
+    words = cut.select("payload_id", "strand_idx", F.concat(bits.digits(header, 2**b, plan.header), F.lpad("part", k, "0")).alias("word"))
+    return words if not plan.parity_bits else words.withColumn("word", word_ecc.protect(F.col("word"), b, plan.parity_bits // 8))
 
 
-def decode_max_density(strand: DataFrame, plan: StrandPlan) -> DataFrame:
-    """strand (payload_id, dna) -> payload_id, content, n_strands, n_missing.
+def _strands(payload: DataFrame, plan: StrandPlan, overhead: float, seed: int) -> DataFrame:
+    """payload -> payload_id, strand_idx, digits: the ordinal before each word, or before each fountain symbol."""
+    words = _words(payload, plan)
+    if plan.lt_header:
+        words = word_ecc.fountain_symbols(words, plan, overhead, seed)
+    return words.select("payload_id", "strand_idx", F.concat(bits.digits(F.col("strand_idx"), 2**plan.bits_per_base, plan.barcode), "word").alias("digits"))
 
-    A barcode seen twice keeps its least strand; barcodes that aren't ACGT are
-    dropped. content is null if a strand is missing before the last or the bits
-    aren't whole bytes.
+
+def _contents(read: DataFrame, plan: StrandPlan) -> DataFrame:
+    """read (payload_id, digits) -> payload_id, content, n_strands, n_missing, n_failed.
+
+    A word seen twice counts once: one that its parities bear out, else the
+    least. content is null if a word is missing before the last, can't be
+    corrected, or the bits aren't whole bytes.
     """
-    quads = lambda s: F.conv(F.translate(s, nt.DENSE, QUADS), 4, 10).cast("long")
-    b, z, m = plan.barcode, plan.header, plan.message
-    read = strand.filter(nt.valid(F.col("dna")) & (F.char_length("dna") == b + z + m))
-    used = quads(F.substring("dna", b + 1, z))
-    block = F.substring("dna", b + z + 1, m)
-    read = read.select("payload_id", quads(F.substring("dna", 1, b)).alias("i"), F.when(used > 0, F.right(block, F.least((used / 2).cast("int"), F.lit(m)))).otherwise(block).alias("part"))
-    read = read.groupBy("payload_id", "i").agg(F.min("part").alias("part"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "part")))
-    whole = read.groupBy("payload_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("dna"), F.count("*").alias("n_strands"), F.max("i").alias("last"))
-    missing = F.col("last") + 1 - F.col("n_strands")
-    return whole.select("payload_id", F.when(missing == 0, nt.dna_to_bytes(F.col("dna"))).alias("content"), "n_strands", missing.alias("n_missing"))
+    b = plan.bits_per_base
+    k, z = plan.payload_bits // b, plan.header
+    number = lambda s: F.conv(s, 2**b, 10).cast("long")
+    tail = F.substring(F.col("digits"), F.lit(plan.barcode + 1), F.char_length("digits"))
+    # One exchange: both groupings below keep to the payload.
+    read = read.repartition("payload_id")
+    if plan.lt_header:
+        rows = word_ecc.fountain_words(read.select("payload_id", tail.alias("symbol")), plan)
+    else:
+        rows = read.select("payload_id", number(F.substring("digits", 1, plan.barcode)).alias("i"), tail.alias("word"), F.lit(None).cast("long").alias("n_words"))
+    if plan.parity_bits:
+        rows = rows.withColumn("r", word_ecc.restore(F.col("word"), b, plan.parity_bits // 8)).select("payload_id", "i", "n_words", F.col("r.word").alias("word"), F.col("r.ok").alias("ok"))
+    else:
+        rows = rows.withColumn("ok", F.lit(True))
+    one = rows.groupBy("payload_id", "i").agg(F.min(F.struct((~F.col("ok")).alias("failed"), F.col("word").alias("word"))).alias("w"), F.max("n_words").alias("n_words"))
+    used, block = number(F.left(F.col("w.word"), F.lit(z))), F.substring(F.col("w.word"), z + 1, k)
+    part = F.when(used > 0, F.right(block, F.least((used / b).cast("int"), F.lit(k)))).otherwise(block)
+    one = one.select("payload_id", "i", "n_words", "w.failed", part.alias("part"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "")
+    whole = one.groupBy("payload_id").agg(parts.alias("d"), F.count("*").alias("n_strands"), F.coalesce(F.max("n_words"), F.max("i") + 1).alias("wanted"), F.count_if("failed").alias("n_failed"))
+    missing = F.col("wanted") - F.col("n_strands")
+    content = kernels.dna_to_bytes(F.col("d"), QUADS) if b == 2 else kernels.bits_to_bytes(F.col("d"))
+    return whole.select("payload_id", F.when((missing == 0) & (F.col("n_failed") == 0), content).alias("content"), "n_strands", missing.alias("n_missing"), "n_failed")
+
+
+def encode_max_density(payload: DataFrame, plan: StrandPlan, overhead: float = 5.0, seed: int = 0) -> DataFrame:
+    """payload -> strand. Barcode (base-4 ordinal), header, block, and Reed-Solomon parities over header and block if the plan has any.
+
+    With a fountain header in the plan, symbols of those words: n + int(n *
+    overhead) for n words. Null and empty contents give no strand.
+    """
+    made = _strands(payload, plan, overhead, seed)
+    return made.select("payload_id", "strand_idx", F.translate("digits", QUADS, nt.DENSE).alias("dna"))
 
 
-# one bit a base, no homopolymers ---------------------------------------------------------------
+def decode_max_density(strand: DataFrame, plan: StrandPlan) -> DataFrame:
+    """strand (payload_id, dna) -> payload_id, content, n_strands, n_missing, n_failed. Strands of another length, or not of ACGT, are dropped."""
+    read = strand.filter(nt.valid(F.col("dna")) & (F.char_length("dna") == plan.length))
+    return _contents(read.select("payload_id", F.translate("dna", nt.DENSE, QUADS).alias("digits")), plan)
 
 
-def encode_no_homopolymer(payload: DataFrame, plan: StrandPlan) -> DataFrame:
-    """Barcode (binary ordinal), header, left-padded block; bases alternate between {T, G} and {C, A} by position."""
-    k = plan.payload_bits
-    cut = payload.select("payload_id", F.posexplode(bits.pieces(bits.bytes_to_bits(F.col("content")), k)).alias("strand_idx", "part"))
-    n = F.char_length("part")
-    header = F.when(n < k, n).otherwise(F.lit(0))
-    word = F.concat(bits.digits(F.col("strand_idx"), 2, plan.barcode), bits.digits(header, 2, plan.header), F.lpad("part", k, "0"))
-    return cut.select("payload_id", "strand_idx", nt.alternating(word).alias("dna"))
+def encode_no_homopolymer(payload: DataFrame, plan: StrandPlan, overhead: float = 2.0, seed: int = 0) -> DataFrame:
+    """As encode_max_density with one bit a base; bases alternate between {T, G} and {C, A} by position."""
+    return _strands(payload, plan, overhead, seed).select("payload_id", "strand_idx", nt.alternating(F.col("digits")).alias("dna"))
 
 
 def decode_no_homopolymer(strand: DataFrame, plan: StrandPlan) -> DataFrame:
-    """strand (payload_id, dna) -> payload_id, content, n_strands, n_missing; as decode_max_density."""
-    b, z, k = plan.barcode, plan.header, plan.payload_bits
-    number = lambda s: F.conv(s, 2, 10).cast("long")
-    word = F.translate("dna", "TCGA", "0011")
-    read = strand.filter(nt.valid(F.col("dna")) & (F.char_length("dna") == b + z + k)).select("payload_id", word.alias("w"))
-    used = number(F.substring("w", b + 1, z))
-    block = F.substring("w", b + z + 1, k)
-    read = read.select("payload_id", number(F.substring("w", 1, b)).alias("i"), F.when(used > 0, F.right(block, F.least(used, F.lit(k)).cast("int"))).otherwise(block).alias("part"))
-    read = read.groupBy("payload_id", "i").agg(F.min("part").alias("part"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "part")))
-    whole = read.groupBy("payload_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("w"), F.count("*").alias("n_strands"), F.max("i").alias("last"))
-    missing = F.col("last") + 1 - F.col("n_strands")
-    return whole.select("payload_id", F.when(missing == 0, bits.bits_to_bytes(F.col("w"))).alias("content"), "n_strands", missing.alias("n_missing"))
+    """strand (payload_id, dna) -> as decode_max_density."""
+    read = strand.filter(nt.valid(F.col("dna")) & (F.char_length("dna") == plan.length))
+    return _contents(read.select("payload_id", F.translate("dna", "TCGA", "0011").alias("digits")), plan)
 
 
 # indexed segments with XOR redundancy ----------------------------------------------------------

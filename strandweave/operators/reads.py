@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bits
+from ..functions.kernels import column_of, flat
+from ..scratch import is_small, maybe_broadcast
 
 
 def barcode(seq: Column, width: int) -> Column:
@@ -49,12 +57,87 @@ def mad_filter(reads: DataFrame, keys: list[str], width: float = 5.0) -> DataFra
     return reads.join(good, keys)
 
 
+#: Reads of a group that one task votes on at most; larger groups are voted by aggregates.
+VOTED = 100_000
+
+
 def consensus(reads: DataFrame, keys: list[str], seq: str = "seq", order: str = "ord", only: str | None = "ACGT") -> DataFrame:
     """Per group and position the most frequent base; ties go to the base seen first. -> keys, seq, n_reads.
 
+    Positions where no read has an allowed base get A. Reads cross one exchange,
+    by group, and whole batches are voted on at once; what a task holds is a
+    batch and the counts of one group.
+    """
+    if only != "ACGT":
+        return _consensus_by_rows(reads, keys, seq, order, only)
+    rows = reads.select(*keys, F.coalesce(F.col(seq), F.lit("")).alias(seq), F.col(order).cast("long").alias(order))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > VOTED).select(*keys)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(seq, T.StringType()), T.StructField("n_reads", T.LongType())])
+    vote = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(_voter(len(keys), schema.names), schema)
+    if large.isEmpty():
+        return vote(rows)
+    few = maybe_broadcast(large)
+    return vote(rows.join(few, keys, "left_anti")).unionByName(_consensus_by_rows(rows.join(few, keys, "left_semi"), keys, seq, order, only))
+
+
+def _voter(n_keys: int, names: list[str]):
+    """Rows in order of keys and ordinal (keys, seq, ord) -> one row a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            table = table.combine_chunks()
+            starts = _group_starts(table, n_keys)
+            last = int(starts[-1]) if len(starts) else 0
+            if last:
+                yield _voted(table.slice(0, last), starts[:-1], n_keys, names)
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield _voted(rest, np.zeros(1, np.int64), n_keys, names)
+
+    return run
+
+
+def _group_starts(table: pa.Table, n_keys: int) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in range(n_keys):
+        column = table.column(k).combine_chunks()
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+        new[1:] |= np.array(differ, bool)
+    return np.flatnonzero(new)
+
+
+def _voted(table: pa.Table, starts: np.ndarray, n_keys: int, names: list[str]) -> pa.RecordBatch:
+    data, bounds, _ = flat(table.column(n_keys).combine_chunks())
+    n, size = table.num_rows, np.diff(bounds)
+    group = np.searchsorted(starts, np.arange(n), "right") - 1
+    width = np.zeros(len(starts), np.int64)
+    np.maximum.at(width, group, size)
+    first_cell = np.concatenate(([0], np.cumsum(width)))
+    code = np.full(256, 4, np.uint8)
+    code[list(b"ACGT")] = range(4)
+    base, row = code[data], np.repeat(np.arange(n), size)
+    cell = first_cell[group[row]] + np.arange(len(data)) - np.repeat(bounds[:-1], size)
+    good = base < 4
+    at, row = cell[good] * 4 + base[good], row[good]
+    votes = np.bincount(at, minlength=4 * int(first_cell[-1]))
+    seen = np.full(len(votes), n, np.int64)
+    seen[at[::-1]] = row[::-1]  # the first row that votes so is written last
+    best = (votes * np.int64(n + 1) + (n - seen)).reshape(-1, 4).argmax(axis=1)
+    called = column_of(np.frombuffer(b"ACGT", np.uint8)[best], first_cell, None, pa.string())
+    at_start = pa.array(starts)
+    return pa.RecordBatch.from_arrays([*[table.column(k).combine_chunks().take(at_start) for k in range(n_keys)], called, pa.array(np.bincount(group, minlength=len(starts)), pa.int64())], names=names)
+
+
+def _consensus_by_rows(reads: DataFrame, keys: list[str], seq: str = "seq", order: str = "ord", only: str | None = "ACGT") -> DataFrame:
+    """consensus() as aggregates with map-side combine: for groups too large for one task, and for any letters.
+
     Equal reads are counted once before positions are exploded, and a group of
     equal reads only is its own consensus, so clean copies are never exploded.
-    Positions where no read has an allowed base get A.
     """
     same = reads.groupBy(*keys, F.col(seq).alias("s")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
     groups = same.groupBy(*keys).agg(F.count("*").alias("kinds"), F.sum("n").alias("n_reads"), F.min("s").alias("one"))
@@ -129,11 +212,51 @@ def nearest_by_hamming(queries: DataFrame, centres: DataFrame, length: int, keys
 
 def nearest_by_edits(queries: DataFrame, library: DataFrame) -> DataFrame:
     """queries (qid, seq), library (idx, oligo), a bounded dimension -> qid, idx, distance; ties go to the lesser idx."""
+    return _nearest(queries, library, F.levenshtein("seq", "oligo"))
+
+
+def _nearest(queries: DataFrame, library: DataFrame, distance: Column) -> DataFrame:
+    """The library is checked to be small: every query meets all of it."""
+    if not is_small(library):
+        raise ValueError("the library is too large to compare every query with all of it")
     pairs = queries.join(F.broadcast(library), F.lit(True))
-    best = pairs.groupBy("qid").agg(F.min(F.struct(F.levenshtein("seq", "oligo").alias("d"), "idx")).alias("best"))
+    best = pairs.groupBy("qid").agg(F.min(F.struct(distance.alias("d"), "idx")).alias("best"))
     return best.select("qid", F.col("best.idx").alias("idx"), F.col("best.d").alias("distance"))
 
 
+def swap_distance(a: str, b: str) -> int:
+    """Damerau-Levenshtein distance: edits and swaps of neighbours, each of which may be edited again."""
+    far, last = len(a) + len(b), {}
+    d = np.full((len(a) + 2, len(b) + 2), far)
+    d[1:, 1], d[1, 1:] = range(len(a) + 1), range(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        match = 0
+        for j, y in enumerate(b, 1):
+            k, m = last.get(y, 0), match
+            if x == y:
+                match = j
+            swap = d[k, m] + (i - k - 1) + 1 + (j - m - 1)
+            d[i + 1, j + 1] = min(d[i, j] + (x != y), d[i + 1, j] + 1, d[i, j + 1] + 1, swap)
+        last[x] = i
+    return int(d[-1, -1])
+
+
+def nearest_by_swaps(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """As nearest_by_edits with swaps of neighbours as one edit."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            yield pa.array([swap_distance(x, y) for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.int32())
+
+    return _nearest(queries, library, F.arrow_udf(run, "int")("seq", "oligo"))
+
+
+def length_stats(reads: DataFrame, seq: str = "seq") -> DataFrame:
+    """n, total, mean, least and most length."""
+    n = F.char_length(seq)
+    return reads.agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
 def top_per_position(values: DataFrame, n: int) -> DataFrame:
     """values (pos, value, ord) -> pos, value, n, rank: the n most used values of each position; ties go to the first seen."""
     counts = values.groupBy("pos", "value").agg(F.count("*").alias("n"), F.min("ord").alias("first"))

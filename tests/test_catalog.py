@@ -9,8 +9,6 @@ import __spark_entry__
 from strandweave import catalog, registry
 
 DIR = "/root/testdata/sf0.001"
-#: Long-running with no more to show on small tables; the driver compares them too.
-SLOW = {"roundtrip_gcplus", "dna_encode_no_homopolymer"}
 
 
 def _rows(table):
@@ -29,7 +27,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, db, name):
     got = catalog.queries()[name](spark, DIR).toArrow()
     want = db.execute(catalog.oracle_sql()[name]).to_arrow_table()
@@ -42,6 +40,17 @@ def test_edits_rebuild_reads(spark, name):
     assert all(rows["reconciled"].to_pylist()) and rows.num_rows
 
 
+def test_flagship_is_noisy(spark):
+    """Reads differ from their strands and from each other, and still decode."""
+    from strandweave.operators import channels, codecs
+
+    strand = codecs.encode_max_density(catalog.documents(spark, DIR), catalog.PLAN).limit(500)
+    hit = channels.channel_indel(channels.copies(strand, 10, 1, 51), *catalog._NOISE, 53)
+    kinds = {r["mode"] for r in hit.selectExpr("explode(mutated.edits) e").select("e.mode").distinct().collect()}
+    assert kinds == {"insertion", "deletion", "mismatch"}
+    assert hit.selectExpr("mutated.seq <> dna as hit").groupBy("hit").count().filter("hit").first()["count"] > 1000
+
+
 def test_partitions_do_not_matter(spark):
     from strandweave.operators import channels
 

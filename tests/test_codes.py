@@ -3,13 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandweave.ecc import fountain
 from strandweave.ecc.reed_solomon import Code, protect, restore
-from strandweave.operators import gcplus, mesa, wukong
+from strandweave.functions import kernels
+from strandweave.operators import channels, gcplus, mesa, reads, word_ecc, wukong
 from strandweave.plans import codec_plan
 from strandweave.plans.profiles import SEQUENCING, SYNTHESIS
 
@@ -95,3 +97,65 @@ def test_profiles_hit_their_rates():
         want = p.raw_rate * (p.mismatch + p.deletion + p.insertion) * len(seq)
         assert len(edits) <= want + 6 * want**0.5 + 1
         assert p.raw_rate or out == seq
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=40)), max_size=12))
+def test_byte_kernels(data):
+    for alphabet, width in (("AGCT", 4), ("01", 8)):
+        out = kernels.column_of(*kernels._spread(kernels._letters(alphabet, width))(*kernels.flat(pa.array(data, pa.binary()))), pa.string())
+        bits = 8 // width
+        want = [None if x is None else "".join(alphabet[(b >> (bits * k)) & (2**bits - 1)] for b in x for k in range(width - 1, -1, -1)) for x in data]
+        assert out.to_pylist() == want
+        back = kernels._gathered(kernels._codes(alphabet), width)(*kernels.flat(out.slice(1)))
+        assert kernels.column_of(*back, pa.binary()).to_pylist() == data[1:]
+
+
+def test_kernel_rejects():
+    got = kernels.column_of(*kernels._gathered(kernels._codes("AGCT"), 4)(*kernels.flat(pa.array(["AGCT", "AGC", "NNNN", "", None, "TTTT"]))), pa.binary())
+    assert got.to_pylist() == [b"\x1b", None, None, b"", None, b"\xff"]
+
+
+def test_indels_of_a_batch():
+    """Rates, reconciliation of every edit, and independence of how reads are batched."""
+    r = random.Random(2)
+    seqs = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 300))) for _ in range(400)]
+    data, bounds, _ = kernels.flat(pa.array(seqs))
+    keys = channels._mixed(np.arange(400, dtype=np.uint64))
+    out, ends, edits = channels.indel_batch(data, bounds, keys, 0.02, 0.03, 0.05)
+    texts, n = kernels.column_of(out, ends, None, pa.string()).to_pylist(), {"insertion": 0, "deletion": 0, "mismatch": 0}
+    for seq, text, own in zip(seqs, texts, edits.to_pylist(), strict=True):
+        rebuilt, at = "", 0
+        for e in own:
+            n[e["mode"]] += 1
+            rebuilt += seq[at : e["pos"]]
+            at = e["pos"]
+            if e["mode"] != "insertion":
+                assert e["orig"] == seq[at] and e["mod"] != seq[at]
+                at += 1
+            rebuilt += e["mod"]
+        assert rebuilt + seq[at:] == text
+    total = sum(map(len, seqs))
+    assert all(abs(n[k] / total - p) < 0.004 for k, p in (("insertion", 0.02), ("deletion", 0.03), ("mismatch", 0.05 * 0.97)))
+    d2, b2, _ = kernels.flat(pa.array(seqs[100:]))
+    assert kernels.column_of(*channels.indel_batch(d2, b2, keys[100:], 0.02, 0.03, 0.05)[:2], None, pa.string()).to_pylist() == texts[100:]
+
+
+def test_trailers():
+    for b, width in ((2, 20), (1, 40)):
+        for n in (1, 2, 3, 17, 300):
+            for _ in range(20):
+                rows = random.sample(range(n), min(n, random.randint(1, width * b // word_ecc._index_width(n))))
+                assert sorted(word_ecc.chosen_rows(word_ecc.trailer(rows, n, b, width), n, b)) == sorted(rows)
+
+
+def test_votes():
+    t = pa.table({"k": pa.array([1, 1, 1, None, None, 2]), "seq": ["ACGT", "ACGA", "TCNAG", "NN", "", "GG"], "ord": pa.array([0, 1, 2, 0, 1, 0])})
+    starts = reads._group_starts(t, 1)
+    assert starts.tolist() == [0, 3, 5]
+    assert reads._voted(t, starts, 1, ["k", "seq", "n_reads"]).to_pylist() == [{"k": 1, "seq": "ACGAG", "n_reads": 3}, {"k": None, "seq": "AA", "n_reads": 2}, {"k": 2, "seq": "GG", "n_reads": 1}]
+
+
+def test_swap_distance():
+    for a, b, d in (("", "", 0), ("ab", "ba", 1), ("ca", "abc", 2), ("kitten", "sitting", 3), ("ACGT", "AGCT", 1)):
+        assert reads.swap_distance(a, b) == d
