@@ -169,7 +169,7 @@ def examples(seed: int, n: int) -> Texts:
         hexes = lambda k: ":".join(chars("0123456789abcdef", r.randint(2, 4)) for _ in range(k))
         bracket = at if "(" in at or "[" in at else " (at) "
         made += [
-            (fill + r.choice(calls), phone(), r.choice(_AFTER), 1), (r.choice(calls), phone(), f" {phone()}", 1), (r.choice(calls), phone(), f" {date}", 1), (r.choice(calls), phone(), f" {digits(2)}.{digits(2)}", 1),
+            (fill + r.choice(calls), phone(), r.choice(_AFTER), 1), (r.choice(calls), phone(), f" {phone()}", 2), (r.choice(calls), phone(), f" {date}", 1), (r.choice(calls), phone(), f" {digits(2)}.{digits(2)}", 1),
             (fill, f"({digits(3)}) {digits(3)}-{digits(4)}", r.choice(_AFTER), 1),
             (fill + r.choice(cards), grouped(card(r.choice([13, 14, 15, 16]))), r.choice(_AFTER), 1), (fill, grouped(digits(16)), r.choice(_AFTER), 1), (fill + r.choice(cards), grouped(digits(16)), r.choice(_AFTER), 1),
             (fill + r.choice(other), grouped(digits(r.choice([8, 10, 12, 13, 16]))), r.choice(_AFTER), 0), (fill, digits(r.choice([7, 8, 9, 10, 11, 12, 13, 17, 18, 19])), r.choice(_AFTER), 0),
@@ -188,7 +188,9 @@ def examples(seed: int, n: int) -> Texts:
             (fill + r.choice(["mac ", "", "at "]), ":".join(chars("0123456789abcdef", 2) for _ in range(6)), r.choice(_AFTER), 0), (fill + "password: ", name() + digits(1) + name() + digits(1), r.choice(["", ".", "\n"]), 1),
             (fill + r.choice(["key ", "the key "]), f"{name()}{digits(2)}{name()}", r.choice([" is lost", " was there"]), 0), (fill, chars("0123456789abcdef", r.choice([32, 40])), r.choice(_AFTER), 0),
         ]
-    return [(a + b + c, [(len(a), len(a) + len(b))] if y else []) for a, b, c, y in made]
+    # With 2 what follows after a blank is personal too.
+    spans = lambda a, b, c, y: [(len(a), len(a + b)), (len(a + b) + 1, len(a + b + c))][:y]
+    return [(a + b + c, spans(a, b, c, y)) for a, b, c, y in made]
 
 
 def _right(g: str, m: str, span: tuple[int, int], right: list[tuple[int, int]]) -> bool:
