@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .ecc import fountain, reed_solomon
 from .functions import bits, nt, rng
-from .operators import assembly, channels, codecs, experiments, gcplus, mesa, qc, reads, wukong
+from .operators import assembly, channels, codecs, experiments, gcplus, mesa, qc, random_data, reads, wukong
 from .plans import codec_plan
 from .plans.profiles import MOTIF_PROB, MOTIFS, SEQUENCING
 from .sources import files
@@ -95,6 +95,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("l_orderkey").alias("payload_id"), F.col("l_linenumber").alias("strand_idx"), "l_returnflag", nt.bytes_to_dna(F.encode(F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag", "l_linestatus"), "UTF-8")).alias("dna"))
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One strand an order."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"), F.lit(0).alias("strand_idx"), "o_orderpriority", nt.bytes_to_dna(F.encode(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority"), "UTF-8")).alias("dna"))
+
+
 def _replaced(expr: str, codes: list[str]) -> str:
     for digit, code in zip(bits.HEX, codes, strict=True):
         expr = f"replace({expr}, '{digit}', '{code}')"
@@ -805,10 +810,13 @@ def library_translate(spark, d):
 
 
 @query("""
-WITH o AS (SELECT p_size, p_brand || ',' || p_type || ',/,' || p_type || ',' || p_brand AS a, p_brand || ',' || p_type || ',/,' || p_type || ',' || p_brand AS b FROM part)
+WITH o AS (SELECT p_size, p_brand || ',' || p_type || ',/,x,y' AS a, 'y,x,/,' || p_type || ',' || p_brand AS b FROM part)
 SELECT least(a, b) AS key, sum(p_size)::BIGINT AS n FROM o GROUP BY 1""")
 def pool_histogram(spark, d):
-    t = table(spark, d, "part").select(F.array("p_brand", "p_type").alias("fwd"), F.array("p_type", "p_brand").alias("rev"), F.col("p_size").alias("n"))
+    """Odd parts come as the mirror images of what even ones are: each key has copies of both."""
+    odd = F.col("p_partkey") % 2 == 1
+    x, y = F.lit("x"), F.lit("y")
+    t = table(spark, d, "part").select(F.when(odd, F.array(y, x)).otherwise(F.array("p_brand", "p_type")).alias("fwd"), F.when(odd, F.array("p_type", "p_brand")).otherwise(F.array(x, y)).alias("rev"), F.col("p_size").alias("n"))
     return assembly.histogram(t)
 
 
@@ -947,5 +955,129 @@ def average_copies(spark, d):
     return c.groupBy("l_returnflag").agg(F.round(F.count("*") / F.count_distinct("payload_id", "strand_idx"), 6).alias("mean_copies"))
 
 
+@query(f"""
+WITH l AS (SELECT o_orderkey AS payload_id, 0 AS strand_idx, o_orderpriority, o_orderkey % 7 AS w, {dna_of("o_orderkey || '|' || o_orderpriority")} AS dna FROM orders),
+s AS (SELECT *, sum(w) OVER (ORDER BY payload_id, strand_idx) - w AS lo FROM l), t AS (SELECT sum(w)::BIGINT AS total, count(*) AS m FROM l),
+d AS (SELECT draw, least(floor(({rng.uniform_sql("'9'", "'draw'", 'draw')} + {rng.uniform_sql("'9'", "'more'", 'draw')} / 4294967296.0) * total), total - 1)::BIGINT AS x,
+             {rng.uniform_sql("'9'", "'flip'", 'draw')} < 0.3 AS reversed FROM t, range(0, floor(2.5 * m)::BIGINT) r(draw))
+SELECT o_orderpriority, count(*) AS n_reads, count(*) FILTER (WHERE reversed) AS n_reversed, count(DISTINCT CASE WHEN reversed THEN {revcomp_of('dna')} ELSE dna END) AS n_distinct
+FROM d JOIN s ON x >= lo AND x < lo + w GROUP BY o_orderpriority""")
+def sampling_weighted(spark, d):
+    """Orders with weights from 0 to 6, two and a half reads a strand, drawn one by one."""
+    r = channels.sample_weighted(orders(spark, d), 2.5, F.col("payload_id") % 7, 0.3, 9)
+    return r.groupBy("o_orderpriority").agg(F.count("*").alias("n_reads"), F.count_if("reversed").alias("n_reversed"), F.count_distinct("read").alias("n_distinct"))
+
+
+@query(f"SELECT c_custkey AS payload_id, 8 * octet_length(encode(c_name)) AS n, true AS in_class, true AS near FROM customer")
+def repair_classes(spark, d):
+    """Strands of two alternating classes that lost a base anywhere: all other bases return to their places."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("payload_id"), F.lit(0).alias("ord"), nt.alternating(bits.bytes_to_bits(F.encode("c_name", "UTF-8"))).alias("dna"))
+    at = (F.floor(rng.uniform(61, "lost", F.col("payload_id")) * F.char_length("dna"))).cast("int")
+    hit = c.withColumn("seq", F.concat(F.substring(F.col("dna"), F.lit(1), at), F.substring(F.col("dna"), at + 2, F.char_length("dna"))))
+    fixed = reads.repair_classes(hit, 8 * 18, 62)
+    whole = F.col("seq").rlike("^([TG][CA])*$")
+    return fixed.select("payload_id", F.char_length("seq").alias("n"), whole.alias("in_class"), (bits.hamming(F.col("dna"), F.col("seq")) <= 1).alias("near"))
+
+
+@query(_NOISY + "SELECT payload_id, seq, count(*) AS n, min(ord) AS ord, count(*) >= 2 AS voted FROM noisy GROUP BY payload_id, seq")
+def read_voted_and_single(spark, d):
+    return reads.voted_and_single(_noisy(spark, d), ["payload_id"])
+
+
+@query(_NOISY + "SELECT count(*) AS n_in, count(DISTINCT payload_id) AS n_groups, count(DISTINCT payload_id) AS n_out, count(*) - count(DISTINCT payload_id) AS n_removed FROM noisy")
+def process_metrics(spark, d):
+    r = _noisy(spark, d)
+    return reads.process_metrics(r, reads.consensus(r, ["payload_id"]), ["payload_id"])
+
+
+@query("""
+WITH i AS (SELECT p_partkey, right('0' || p_size, 2) AS a, CASE WHEN p_size % 5 = 0 THEN 'x' ELSE replace(p_brand, 'Brand#', '') END AS b FROM part)
+SELECT p_partkey, a || ',' || b AS key, count(*) OVER (PARTITION BY a, b) AS n_group FROM i WHERE b <> 'x'""")
+def group_by_first(spark, d):
+    """Parts whose first two items are numbers, grouped by them."""
+    b = F.when(F.col("p_size") % 5 == 0, "x").otherwise(F.replace("p_brand", F.lit("Brand#"), F.lit("")))
+    t = table(spark, d, "part").select("p_partkey", F.array(F.right(F.concat(F.lit("0"), F.col("p_size").cast("string")), F.lit(2)), b, F.col("p_type")).alias("items"))
+    return reads.group_by_first(t, 2).select("p_partkey", F.array_join("key", ",").alias("key"), "n_group")
+
+
+@query("""
+SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || '|' || string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || '|' || string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS columns,
+       string_agg(l_linenumber || ',' || l_partkey || ',' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS flat FROM lineitem GROUP BY l_orderkey""")
+def matrix_transpose(spark, d):
+    """An order's lines as a matrix: its columns, and its items row by row."""
+    row = F.struct(*[F.col(c).cast("long").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    m = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    rows = F.transform("r", lambda x: F.array(x["l_linenumber"], x["l_partkey"], x["l_suppkey"]))
+    joined = F.array_join(F.transform(bits.transpose(rows), lambda c: F.array_join(c.cast("array<string>"), ",")), "|")
+    return m.select("l_orderkey", joined.alias("columns"), F.array_join(bits.flatten_layers(rows, 1).cast("array<string>"), ",").alias("flat"))
+
+
+@query(f"SELECT i0 AS strand_idx, dna FROM (SELECT i0, {random_data.random_string_sql('ACGT', '60', 71, 'i0')} AS dna FROM range(0, 500) r(i0))")
+def random_strands(spark, d):
+    return random_data.strands(spark, 500, 60, 71)
+
+
+@query(f"SELECT i0 AS payload_id, {random_data.random_string_sql('01', '100', 72, 'i0')} AS bits FROM range(0, 200) r(i0)")
+def random_bits(spark, d):
+    return random_data.bit_strings(spark, 200, 100, 72)
+
+
+@query(f"""
+WITH l AS (SELECT n_nationkey AS idx, {dna_of('n_name')} AS oligo FROM nation), m AS (SELECT count(*) AS m FROM l)
+SELECT c AS codeword_id, string_agg(oligo, ' ' ORDER BY pos) AS oligos FROM (SELECT c, pos, floor({rng.uniform_sql("'73'", "'oligo'", 'c', 'pos')} * m) AS idx FROM m, range(0, 300) r(c), range(0, 8) q(pos)) JOIN l USING (idx) GROUP BY c""")
+def random_codewords(spark, d):
+    library = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), nt.bytes_to_dna(F.encode("n_name", "UTF-8")).alias("oligo"))
+    return random_data.codewords(spark, 300, 8, library, 73).select("codeword_id", F.array_join("oligos", " ").alias("oligos"))
+
+
+_SIZES = [40 * 2**i for i in range(9)]
+
+
+@query(f"""
+WITH f AS (SELECT i - 1 AS file_id, s AS n_bytes FROM (SELECT unnest({_SIZES}) AS s, unnest(range(1, {len(_SIZES) + 1})) AS i)),
+p AS (SELECT file_id, n_bytes, piece, least({random_data.PIECE}, n_bytes - piece * {random_data.PIECE}) AS n FROM f, range(0, 100) r(piece) WHERE piece * {random_data.PIECE} < n_bytes)
+SELECT file_id, n_bytes::BIGINT AS n_bytes, piece, {random_data.random_string_sql(random_data.LETTERS, 'n', 74, 'file_id', 'piece')} AS text FROM p""")
+def random_texts(spark, d):
+    return random_data.texts(spark, _SIZES, 74)
+
+
+@query(f"SELECT unnest({[str(s) for s in _SIZES]}) AS size, 'SUCCESS' AS status, 1::BIGINT AS n_rows, true AS timed")
+def duration_by_size(spark, d):
+    """Encoding and decoding of random files from 40 bytes on, each twice the size of the one before; times are real, so only whether they were taken is compared."""
+
+    def one(p: dict) -> DataFrame:
+        text = codecs.ordered_concat(random_data.texts(spark, [p["size"]], 75), ["file_id"], "piece", "text", "content")
+        payload = text.select(F.col("file_id").alias("payload_id"), F.encode("content", "UTF-8").alias("content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
+        back = codecs.decode_max_density(codecs.encode_max_density(payload, PLAN), PLAN).select("payload_id", "content")
+        return experiments.compare(payload, back).filter("status = 'SUCCESS'")
+
+    runs = experiments.timed_sweep(spark, [{"size": s} for s in _SIZES], one)
+    return runs.select(F.col("params")["size"].alias("size"), "status", "n_rows", (F.col("seconds") > 0).alias("timed"))
+
+
+_DUPLEX = {"A": "AACC", "b": "CCGT", "a": "GTTA", "c": "TTGC"}
+
+
+@query("SELECT p_partkey, 'AACCCCGT' AS five_prime, 'GTTATTGC' AS three_prime FROM part WHERE p_partkey % 4 < 3")
+def back_translate_pool(spark, d):
+    """The same duplex from either side and end, and one without the marker, which isn't read."""
+    faces = [(["A", "b"], ["a", "c"]), (["b", "A"], ["c", "a"]), (["a", "c"], ["A", "b"]), (["b", "a"], ["c", ""])]
+    pick = lambda j: F.get(F.array(*[F.array(*map(F.lit, f[j])) for f in faces]), (F.col("p_partkey") % 4).cast("int"))
+    t = table(spark, d, "part").select("p_partkey", pick(0).alias("fwd"), pick(1).alias("rev"))
+    return assembly.back_translate_pool(t, _DUPLEX, "A")
+
+
+def _positional_sql() -> str:
+    bars = " UNION ALL ".join(f"SELECT {i}::BIGINT AS position, (SELECT h FROM lh WHERE k = {i // 2 + 1}) AS l, (SELECT h FROM rh WHERE k = {(i + 1) // 2 + 1}) AS r" for i in range(6))
+    half = lambda e: f"SELECT h, row_number() OVER (ORDER BY h) AS k FROM (SELECT DISTINCT {e} AS h FROM {_LIB})"
+    bad = " OR ".join(f"contains(oligo, {x})" for m in "lr" for x in (m, revcomp_of(m)))
+    return f"WITH lh AS ({half('left(oligo, 10)')}), rh AS ({half('substr(oligo, 11, 10)')}), b AS ({bars}) SELECT position, idx, oligo FROM b, {_LIB} WHERE NOT ({bad})"
+
+
+@query(_positional_sql())
+def positional_libraries(spark, d):
+    return assembly.positional_libraries(_library(spark, d), 6)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_noisy(spark, sf_dir)

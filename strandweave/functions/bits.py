@@ -103,3 +103,20 @@ def leading_zero(bits: Column, n: int) -> Column:
 
 def leading_int(bits: Column, n: int) -> Column:
     return F.conv(F.left(bits, F.lit(n)), 2, 10).cast("long")
+
+
+def flatten_layers(nested: Column, layers: int) -> Column:
+    """A nested array with its outer layers of nesting taken away."""
+    for _ in range(layers):
+        nested = F.flatten(nested)
+    return nested
+
+
+def transpose(rows: Column) -> Column:
+    """Columns of an array of arrays, as far as its shortest row reaches."""
+
+    def turned(m: Column) -> Column:
+        width = F.array_min(F.transform(m, F.size))
+        return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(m, lambda r: F.get(r, i)))).otherwise(F.slice(m, 1, 0))
+
+    return let(rows, turned)

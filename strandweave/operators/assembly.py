@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nt, rng
+from ..scratch import maybe_broadcast, numbered
 
 
 def linear_motifs(library: DataFrame) -> DataFrame:
@@ -20,17 +21,17 @@ def linear_motifs(library: DataFrame) -> DataFrame:
     k = (F.char_length("oligo") / 2).cast("int")
     halves = library.select(F.explode(F.array(F.left(F.col("oligo"), k), F.substring(F.col("oligo"), k + 1, k))).alias("half")).distinct()
     named = halves.select(nt.canonical(F.col("half")).alias("motif")).distinct()
-    number = F.row_number().over(Window.orderBy("motif"))
-    one = named.select("motif", F.concat(F.lit("a"), number.cast("string")).alias("symbol"))
+    ranks = numbered(named, "rank", F.col("motif"), start=1)
+    one = ranks.select("motif", F.concat(F.lit("a"), F.col("rank").cast("string")).alias("symbol"))
     return one.unionByName(one.select(nt.reverse_complement(F.col("motif")).alias("motif"), F.concat("symbol", F.lit("*")).alias("symbol")).join(one.select("motif"), "motif", "left_anti"))
 
 
 def translate_oligos(library: DataFrame, motifs: DataFrame) -> DataFrame:
-    """library (idx, oligo) -> idx, oligo, left_symbol, right_symbol, by a broadcast dimension of motifs."""
+    """library (idx, oligo) -> idx, oligo, left_symbol, right_symbol, by a dimension of motifs, broadcast if it is small."""
     k = (F.char_length("oligo") / 2).cast("int")
     a, b = motifs.select(F.col("motif").alias("l"), F.col("symbol").alias("left_symbol")), motifs.select(F.col("motif").alias("r"), F.col("symbol").alias("right_symbol"))
     halves = library.withColumn("l", F.left(F.col("oligo"), k)).withColumn("r", F.substring(F.col("oligo"), k + 1, k))
-    return halves.join(F.broadcast(a), "l", "left").join(F.broadcast(b), "r", "left").select("idx", "oligo", "left_symbol", "right_symbol")
+    return halves.join(maybe_broadcast(a), "l", "left").join(maybe_broadcast(b), "r", "left").select("idx", "oligo", "left_symbol", "right_symbol")
 
 
 def back_translate(symbols: Column, motifs: dict[str, str]) -> Column:
@@ -48,10 +49,48 @@ def positional_motifs(sections: DataFrame) -> DataFrame:
     return sections.select("section", "idx", F.explode(both).alias("x")).select("section", "idx", F.col("x.s").alias("seq"), F.concat("x.p", F.col("idx").cast("string")).alias("sym"), F.concat(F.concat("x.p", F.col("idx").cast("string")), F.lit("*")).alias("sym_rc"))
 
 
-def sub_libraries(library: DataFrame, positions: int) -> DataFrame:
-    """library (idx, oligo) -> position, idx, oligo: each position has the oligos whose rank falls to it."""
-    rank = F.row_number().over(Window.orderBy("oligo")) - 1
-    return library.select(F.pmod(rank, F.lit(positions)).cast("int").alias("position"), "idx", "oligo")
+def oriented(fwd: Column, rev: Column, marker: str) -> Column:
+    """struct(five, three): the duplex turned so that the marker begins its first strand, where an end has it."""
+    swap = (F.get(rev, F.lit(0)) == marker) | (F.element_at(rev, -1) == marker)
+    five, three = F.when(swap, rev).otherwise(fwd), F.when(swap, fwd).otherwise(rev)
+    turn = F.get(five, F.lit(0)) != marker
+    return F.struct(F.when(turn, F.reverse(five)).otherwise(five).alias("five"), F.when(turn, F.reverse(three)).otherwise(three).alias("three"))
+
+
+def back_translate_pool(pools: DataFrame, motifs: dict[str, str], marker: str, marked_only: bool = True, silent: bool = False) -> DataFrame:
+    """pools (..., fwd, rev) -> ..., five_prime, three_prime: both strands of each oligo as bases, the marker's end first.
+
+    Places where a strand is single ('') add nothing. marked_only drops oligos
+    with the marker at no end, as a real pool has them. A silent marker stands
+    for no bases.
+    """
+    at_end = F.lit(False)
+    for side in ("fwd", "rev"):
+        at_end = at_end | (F.get(side, F.lit(0)) == marker) | (F.element_at(side, -1) == marker)
+    rows = pools.filter(at_end) if marked_only else pools
+    says = lambda c: back_translate(F.filter(c, lambda s: (s != "") & (s != marker if silent else F.lit(True))), motifs)
+    rest = [F.col(f"`{c}`") for c in pools.columns if c not in ("fwd", "rev")]
+    turned = rows.select(*rest, oriented(F.col("fwd"), F.col("rev"), marker).alias("o"))
+    return turned.select(*rest, says(F.col("o.five")).alias("five_prime"), says(F.col("o.three")).alias("three_prime"))
+
+
+def positional_libraries(library: DataFrame, positions: int) -> DataFrame:
+    """library (idx, oligo) -> position, idx, oligo: for each position of a codeword the oligos that may stand there.
+
+    Left and right halves are listed in order. Position i excludes oligos with
+    left half number i // 2 or right half number (i + 1) // 2 anywhere, or with
+    the reverse complement of either, so neighbours don't join elsewhere.
+    """
+    k = (F.char_length("oligo") / 2).cast("int")
+    need = positions // 2 + 1
+    first = lambda half: [r[0] for r in library.select(half.alias("h")).distinct().orderBy("h").limit(need).collect()]
+    left, right = first(F.left(F.col("oligo"), k)), first(F.substring(F.col("oligo"), k + 1, k))
+    if min(len(left), len(right)) < need:
+        raise ValueError("the library has too few motifs for so many positions")
+    bars = [F.struct(F.lit(i).alias("position"), F.array(F.lit(left[i // 2]), F.lit(right[(i + 1) // 2])).alias("motifs")) for i in range(positions)]
+    at = library.select("idx", "oligo", F.explode(F.array(*bars)).alias("b"))
+    barred = F.exists("b.motifs", lambda m: F.contains(F.col("oligo"), m) | F.contains(F.col("oligo"), nt.reverse_complement(m)))
+    return at.filter(~barred).select("b.position", "idx", "oligo")
 
 
 def excluded(library: DataFrame, used: DataFrame) -> DataFrame:
@@ -60,7 +99,7 @@ def excluded(library: DataFrame, used: DataFrame) -> DataFrame:
     left = library
     for k in sizes:
         at = library.select("idx", F.explode(nt.kmers(F.col("oligo"), k)).alias("motif"))
-        left = left.join(at.join(F.broadcast(used), "motif", "left_semi").select("idx").distinct(), "idx", "left_anti")
+        left = left.join(at.join(maybe_broadcast(used), "motif", "left_semi").select("idx").distinct(), "idx", "left_anti")
     return left
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, rng
 from ..functions.kernels import column_of, flat
+from ..scratch import running_total
 
 BASES = "ACGT"
 #: Decay per base and year. Fixed values.
@@ -319,6 +320,31 @@ def sample_coverage(strand: DataFrame, coverage: float, p_reverse: float = 0.0,
     )
 
 
+def sample_weighted(strand: DataFrame, coverage: float, weight: Column | None = None, p_reverse: float = 0.0, seed: int = 0) -> DataFrame:
+    """Exactly int(coverage * strands) reads, drawn with replacement by weight, a whole number (1 if none is given).
+
+    A draw is a place on the line of all weights. The line is cut into as many
+    cells as there are strands, each strand lies in the cells that its weight
+    spans, at most three a strand on average, and draws meet strands by cell: a
+    heavy strand has many cells, so no key is hot. Adds draw, reversed, read and
+    read_order; (payload_id, strand_idx) must be unique.
+    """
+    key = [F.col(c) for c in ("payload_id", "strand_idx")]
+    rows = strand.withColumn("__w", (F.lit(1) if weight is None else F.greatest(F.coalesce(weight, F.lit(0)), F.lit(0))).cast("long"))
+    placed = running_total(rows, "__lo", F.col("__w"), *key)
+    size = placed.agg(F.count("*").alias("n"), F.sum("__w").alias("total")).first()
+    n, total = size["n"], size["total"] or 0
+    cell = max(1, total // max(n, 1))
+    spans = F.sequence(F.floor(F.col("__lo") / cell), F.floor((F.col("__lo") + F.col("__w") - 1) / cell))
+    on_line = placed.filter("__w > 0").withColumn("__cell", F.explode(spans))
+    u = rng.uniform(seed, "draw", F.col("id")) + rng.uniform(seed, "more", F.col("id")) / float(2**32)
+    draws = strand.sparkSession.range(int(coverage * n) if total else 0).select(F.col("id").alias("draw"), F.least(F.floor(u * total), F.lit(total - 1)).alias("__x")).withColumn("__cell", F.floor(F.col("__x") / cell))
+    met = draws.join(on_line, "__cell").filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") < F.col("__lo") + F.col("__w")))
+    flip = rng.uniform(seed, "flip", F.col("draw")) < p_reverse
+    reads = met.withColumn("reversed", flip).withColumn("read", F.when(flip, F.reverse(F.translate("dna", "ACGT", "TGCA"))).otherwise(F.col("dna")))
+    return reads.withColumn("read_order", rng.uniform(seed, "order", F.col("draw"))).drop("__w", "__lo", "__cell", "__x")
+
+
 def alignment_rates(pairs: DataFrame, a: str = "dna", b: str = "read") -> DataFrame:
     """pairs with n_match, n_sub, n_ins, n_del of difflib's opcodes."""
 

@@ -48,6 +48,53 @@ def repair_length(reads: DataFrame, length: int, seed: int = 0, seq: str = "seq"
     return reads.withColumn(seq, F.when(n == length, F.col(seq)).otherwise(fixed))
 
 
+def repair_classes(reads: DataFrame, length: int, seed: int = 0, seq: str = "seq", classes: tuple[str, str] = ("TG", "CA")) -> DataFrame:
+    """Strands whose bases alternate between two classes, set right in one pass: the length and the class of every place.
+
+    A base of the wrong class marks where one was lost, gained or replaced. A
+    strand that is too short gets a drawn base before it, one that is too long
+    loses it, others get a drawn base in its place. A single lost base thus
+    leaves all others in their places. Drawn by payload_id, ord and place.
+    """
+    from ..functions import rng
+
+    key = [F.col("payload_id"), F.col("ord")]
+    clean = strip_spaces(F.coalesce(F.col(seq), F.lit("")))
+    wanted = lambda i: F.when(i % 2 == 0, classes[0]).otherwise(classes[1])
+    drawn = lambda i: F.substring(wanted(i), (F.floor(rng.fast_uniform(F.lit(seed), *key, i) * 2) + 1).cast("int"), F.lit(1))
+
+    def step(acc: Column, c: Column) -> Column:
+        i, out, off = F.char_length(acc["out"]), acc["out"], acc["off"]
+        good, base = F.instr(wanted(i), c) > 0, F.instr(F.lit("".join(classes)), c) > 0
+        lost, gained = ~good & base & (off > 0), ~good & (off < 0)
+        added = F.when(good, c).when(lost, F.concat(drawn(i), c)).when(gained, F.lit("")).otherwise(drawn(i))
+        return F.struct(F.concat(out, added).alias("out"), (off - lost.cast("int") + gained.cast("int")).alias("off"))
+
+    start = F.struct(F.lit("").alias("out"), (F.lit(length) - F.char_length(clean)).alias("off"))
+    body = F.left(F.aggregate(bits.chars(clean), start, step)["out"], F.lit(length))
+    rest = lambda s: F.concat(s, F.when(F.char_length(s) < length, F.array_join(F.transform(F.sequence(F.char_length(s), F.lit(length - 1)), drawn), "")).otherwise(""))
+    return reads.withColumn(seq, bits.let(body, rest))
+
+
+def group_by_first(rows: DataFrame, n: int, items: str = "items") -> DataFrame:
+    """Rows whose first n items are numbers, with key (those items) and n_group, the rows that share them."""
+    head = F.slice(items, 1, n)
+    keyed = rows.filter(F.forall(head, lambda x: F.coalesce(x.rlike("^-?[0-9]+$"), F.lit(False)))).withColumn("key", head)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n_group"))
+    return keyed.join(sizes, "key")
+
+
+def voted_and_single(reads: DataFrame, keys: list[str], seq: str = "seq", order: str = "ord") -> DataFrame:
+    """Distinct reads, all of them: codes whose reads carry their own checks need those seen once too. Adds n, ord and voted (seen twice or more)."""
+    return distinct_reads(reads, keys, seq, order).withColumn("voted", F.col("n") >= 2)
+
+
+def process_metrics(reads: DataFrame, called: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: reads in, groups, reads out, and how many fewer those are."""
+    before = reads.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_in"), F.count("*").alias("n_groups"))
+    return before.join(F.broadcast(called.agg(F.count("*").alias("n_out"))), F.lit(True)).withColumn("n_removed", F.col("n_in") - F.col("n_out"))
+
+
 def mad_filter(reads: DataFrame, keys: list[str], width: float = 5.0) -> DataFrame:
     """Reads of groups whose size is within median +- width * MAD of the sizes; adds n_group. The medians are exact."""
     sizes = reads.groupBy(*keys).agg(F.count("*").alias("n_group"))

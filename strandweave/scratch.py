@@ -88,3 +88,15 @@ def numbered(df: DataFrame, name: str, *order: Column, start: int = 0) -> DataFr
     bases = rows.groupBy(F.col(part).alias("p")).agg(F.count("*").alias("n"), F.min(place).alias("first")).select("p", (before - F.col("first") + start).alias(base))
     joined = rows.join(F.broadcast(bases), F.col(part) == F.col("p"))
     return joined.withColumn(name, F.col(place) + F.col(base)).select(*[f"`{c}`" for c in df.columns], name)
+
+
+def running_total(df: DataFrame, name: str, value: Column, *order: Column) -> DataFrame:
+    """df with `name`: the sum of value, a whole number, over the rows before in the order, which must be strict. No task sorts all."""
+    part, own = f"__{name}_part", f"__{name}_own"
+    rows = materialise(df.withColumn(own, value.cast("long")).repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "totals")
+    # One row a partition is what this window sorts.
+    before = F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = rows.groupBy(F.col(part).alias("p")).agg(F.sum(own).alias("s")).select("p", before.alias("base"))
+    within = F.coalesce(F.sum(own).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn(name, within).join(F.broadcast(bases), F.col(part) == F.col("p"))
+    return placed.withColumn(name, F.col(name) + F.col("base")).select(*[f"`{c}`" for c in df.columns], name)
