@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, rng
+from ..functions import bits, digests, rng
 from ..functions.kernels import column_of, flat
 from ..scratch import running_total
 
@@ -87,7 +87,11 @@ def substitute_iid(reads: DataFrame, rate: float, seed: int = 0, distinct: bool
     exact draws by md5, which has an SQL twin; otherwise by xxhash64.
     """
     key = [F.col(c) for c in ("payload_id", "strand_idx", "copy_no")]
-    draw = (lambda what, i: rng.uniform(seed, what, *key, i)) if exact else (lambda what, i: rng.fast_uniform(F.lit(seed), F.lit(what), *key, i))
+    if exact:
+        kernel = F.arrow_udf(_substituted(rate, distinct), "struct<read:string,n_changed:int>")
+        made = kernel("dna", *[F.concat_ws("|", F.lit(str(seed)), F.lit(what), *[k.cast("string") for k in key]) for what in ("hit", "base")])
+        return reads.withColumn("__s", made).withColumn("read", F.col("__s.read")).withColumn("n_changed", F.col("__s.n_changed")).drop("__s")
+    draw = lambda what, i: rng.fast_uniform(F.lit(seed), F.lit(what), *key, i)
 
     def change(base: Column, i: Column) -> Column:
         u = draw("base", i)
@@ -102,6 +106,56 @@ def substitute_iid(reads: DataFrame, rate: float, seed: int = 0, distinct: bool
     return changed.withColumn("n_changed", F.size(bits.diff_positions(F.col("dna"), F.col("read"))))
 
 
+#: Reads that one pass of a kernel works on: their arrays stay small whatever a batch holds.
+READS = 2000
+
+
+def _substituted(rate: float, distinct: bool) -> Callable:
+    """STRUCT<read, n_changed> of (dna, prefix of the draws of hits, of bases); draws are those of rng.uniform over prefix and place."""
+    letters = np.frombuffer(BASES.encode(), np.uint8)
+    others = np.tile(letters[:3], (256, 1))  # of any other letter the first three
+    for b in BASES:
+        others[ord(b)] = list(BASES.replace(b, "").encode())
+    picks = 3 if distinct else 4
+
+    def by_rows(seqs: pa.Array, hits: list[bytes], bases: list[bytes]) -> tuple[list, list]:
+        """The same a character at a time, where some aren't one byte."""
+        out, n = [], []
+        for s, h, b in zip(seqs.to_pylist(), hits, bases, strict=True):
+            new = list(s or "")
+            for i, x in enumerate(new, 1):
+                if digests.head(h + b"|%d" % i) / 2**32 < rate:
+                    other = BASES.replace(x, "") if distinct else BASES
+                    new[i - 1] = other[int(digests.head(b + b"|%d" % i) / 2**32 * picks)]
+            out.append(None if s is None else "".join(new))
+            n.append(None if s is None else sum(x != y for x, y in zip(s, new, strict=True)))
+        return out, n
+
+    def part(seqs: pa.Array, hits: pa.Array, bases: pa.Array) -> pa.Array:
+        data, bounds, valid = flat(seqs)
+        size, at_hit, at_base = np.diff(bounds), [x.encode() for x in hits.to_pylist()], [x.encode() for x in bases.to_pylist()]
+        if (data >= 128).any():
+            out, n = by_rows(seqs, at_hit, at_base)
+            return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["read", "n_changed"])
+        hit = np.flatnonzero(digests.heads(at_hit, size) / 2.0**32 < rate)
+        row = np.searchsorted(bounds, hit, "right") - 1
+        if len(hit) * 8 > len(data):
+            u = digests.heads(at_base, size)[hit]
+        else:
+            u = np.array([digests.head(at_base[r] + b"|%d" % i) for r, i in zip(row.tolist(), (hit - bounds[row] + 1).tolist(), strict=True)], np.uint32)
+        pick = (u / 2.0**32 * picks).astype(np.int64)
+        new = data.copy()
+        new[hit] = others[data[hit], pick] if distinct else letters[pick]
+        n = np.bincount(row[new[hit] != data[hit]], minlength=len(size))
+        return pa.StructArray.from_arrays([column_of(new, bounds, valid, pa.string()), pa.array(n, pa.int32(), mask=None if valid is None else ~valid)], names=["read", "n_changed"])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield pa.concat_arrays([part(*[c.slice(i, READS) for c in columns]) for i in range(0, max(1, len(columns[0])), READS)])
+
+    return run
+
+
 def substitute_by_position(reads: DataFrame, stay: float, seed: int = 0, slope: float = 0.01, compat_c: bool = False) -> DataFrame:
     """Position-dependent substitutions: at position p (from 0) of n with chance slope * p / n a base is drawn anew, itself with `stay`.
 
