@@ -74,6 +74,11 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by the hash of keys over three tasks a core: for heavy work on each row of a table whose file is a split or two. A fixed number, as AQE would join such small partitions again."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def numbered(df: DataFrame, name: str, *order: Column, start: int = 0) -> DataFrame:
     """df with `name`: each row's rank in the order, from start. Ties get ranks in any order.
 
