@@ -8,11 +8,13 @@ keyed by the read's identity. All give the same rows under any partitioning.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +197,7 @@ def _strings(rows: list) -> pa.Array:
 
 
 _EDIT = pa.struct([("mode", pa.string()), ("pos", pa.int32()), ("orig", pa.string()), ("mod", pa.string())])
+MODES = ["insertion", "deletion", "mismatch"]
 EDITS = "struct<seq:string,edits:array<struct<mode:string,pos:int,orig:string,mod:string>>>"
 
 
@@ -230,8 +233,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def indel_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, p_ins: float, p_del: float, p_sub: float, slope: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """indel() for a whole batch: bytes and bounds of the reads, a 64-bit key each -> bytes, bounds and edits of the mutated ones.
+def indel_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, p_ins: float, p_del: float, p_sub: float, slope: bool = False, window: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """indel() for a whole batch: bytes and bounds of the reads, a 64-bit key each -> bytes, bounds and edits of the mutated ones. With a window (each read's first place, and the width) only there.
 
     Every draw is a hash of the read's key and the base's place.
     """
@@ -242,8 +245,13 @@ def indel_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, p_ins: f
     low = np.uint64(0xFFFFFFFF)
     chance = lambda h, p: h.astype(np.float64) < p * 2.0**32
     ins, gone = chance(one >> np.uint64(32), p_ins), chance(one & low, p_del)
+    if window is not None:
+        inside = (place >= np.repeat(window[0], size)) & (place < np.repeat(window[0] + window[1], size))
+        ins, gone = ins & inside, gone & inside
     rate = p_sub * place / np.repeat(np.maximum(size, 1), size) if slope else p_sub
     sub = chance(two >> np.uint64(32), rate) & ~gone
+    if window is not None:
+        sub &= inside
     letters = np.frombuffer(BASES.encode(), np.uint8)
     code = np.zeros(256, np.uint8)
     code[letters] = range(4)
@@ -256,23 +264,40 @@ def indel_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, p_ins: f
     events = np.flatnonzero(np.stack((ins, gone | sub), axis=1).reshape(-1))
     at, second = events // 2, events % 2 == 1
     mode = np.where(second, np.where(gone[at], 1, 2), 0)
-    modes = pa.DictionaryArray.from_arrays(pa.array(mode, pa.int8()), ["insertion", "deletion", "mismatch"]).cast(pa.string())
-    base = lambda x, keep: pa.DictionaryArray.from_arrays(pa.array(np.where(keep, code[x], 4), pa.int8()), [*BASES, ""]).cast(pa.string())
-    pieces = [modes, pa.array(place[at], pa.int32()), base(data[at], mode > 0), base(np.where(mode == 0, extra[at], out[at]), mode != 1)]
     ends = np.searchsorted(at, bounds).astype(np.int32)
-    return slots[used], upto, pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pieces, fields=list(_EDIT)))
+    return slots[used], upto, _edit_lists(ends, mode, place[at], data[at], np.where(mode == 0, extra[at], out[at]))
+
+
+def _edit_lists(ends: np.ndarray, mode: np.ndarray, pos: np.ndarray, orig: np.ndarray, mod: np.ndarray) -> pa.Array:
+    """Edits of reads in their order as lists; ends: offsets of the reads. mode: 0 insertion, 1 deletion, 2 mismatch; orig and mod are bytes."""
+    modes = pa.DictionaryArray.from_arrays(pa.array(mode, pa.int8()), MODES).cast(pa.string())
+
+    def base(x: np.ndarray, keep: np.ndarray) -> pa.Array:
+        return column_of(x[keep], np.concatenate(([0], np.cumsum(keep))), None, pa.string())
+
+    pieces = [modes, pa.array(pos, pa.int32()), base(orig, mode > 0), base(mod, mode != 1)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(pieces, fields=list(_EDIT)))
 
 
 def channel_indel(reads: DataFrame, p_ins: float, p_del: float, p_sub: float, seed: int = 0, slope: bool = False) -> DataFrame:
     """reads with mutated STRUCT<seq, edits>, vectorised over batches. Illumina: 1e-6, 1e-6, sloped 0.01; nanopore: 0.01, 0.01, sloped 0.01."""
 
+    return _mutated(reads, "indel", seed, lambda data, bounds, keys: indel_batch(data, bounds, keys, p_ins, p_del, p_sub, slope))
+
+
+def _mutated(reads: DataFrame, what: str, seed: int, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, pa.Array]]) -> DataFrame:
+    """reads with mutated STRUCT<seq, edits> by fn(bytes, bounds, a 64-bit key for each read) -> bytes, bounds and edits, READS reads at a time."""
+
+    def part(seqs: pa.Array, keys: pa.Array) -> pa.Array:
+        data, bounds, _ = flat(seqs)
+        out, ends, edits = fn(data, bounds, _mixed(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+        return pa.StructArray.from_arrays([column_of(out, ends, None, pa.string()), edits], names=["seq", "edits"])
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for seqs, keys in batches:
-            data, bounds, _ = flat(seqs)
-            out, ends, edits = indel_batch(data, bounds, _mixed(keys.to_numpy(zero_copy_only=False).view(np.uint64)), p_ins, p_del, p_sub, slope)
-            yield pa.StructArray.from_arrays([column_of(out, ends, None, pa.string()), edits], names=["seq", "edits"])
+            yield pa.concat_arrays([part(seqs.slice(i, READS), keys.slice(i, READS)) for i in range(0, max(1, len(seqs)), READS)])
 
-    key = F.xxhash64(F.lit(seed), F.lit("indel"), "payload_id", "strand_idx", "copy_no")
+    key = F.xxhash64(F.lit(seed), F.lit(what), "payload_id", "strand_idx", "copy_no")
     return reads.withColumn("mutated", F.arrow_udf(run, EDITS)(F.coalesce(F.col("dna"), F.lit("")), key))
 
 
@@ -292,32 +317,68 @@ def homopolymer_slips(reads: DataFrame, rate: float, seed: int = 0) -> DataFrame
     return reads.withColumn("read", _with_rng(slip, seed, "string", _strings)("dna", "payload_id", "strand_idx", "copy_no"))
 
 
-def markov(g: np.random.Generator, seq: str, table: dict, substitution: dict, k: int) -> tuple[str, list]:
-    """k-mer context and the event before decide between Ins, Del, Sub and Tra; an insertion consumes no base."""
-    out, edits, i, last, radius = [], [], 0, "Beg", k // 2
-    names = ("Ins", "Del", "Sub", "Tra")
-    while i < len(seq):
-        context = seq[max(0, i - radius) : i + radius + 1]
-        row = table.get((context, last)) or table.get(("", last)) or table[("", "")]
-        p = np.array(row, float)
-        event = names[int(np.searchsorted(np.cumsum(p / p.sum()), g.random(), "right").clip(0, 3))]
-        if event == "Ins":
-            x = BASES[g.integers(4)]
-            out.append(x)
-            edits.append(("insertion", i, "", x))
-        else:
-            if event == "Del":
-                edits.append(("deletion", i, seq[i], ""))
-            elif event == "Sub":
-                q = np.array([w if b != seq[i] else 0.0 for b, w in zip(BASES, substitution.get(seq[i], (1, 1, 1, 1)), strict=True)])
-                x = BASES[int(np.searchsorted(np.cumsum(q / q.sum()), g.random(), "right").clip(0, 3))]
-                edits.append(("mismatch", i, seq[i], x))
-                out.append(x)
-            else:
-                out.append(seq[i])
-            i += 1
-        last = event
-    return "".join(out), edits
+EVENTS = ("Ins", "Del", "Sub", "Tra")
+
+
+def _contexts(data: np.ndarray, bounds: np.ndarray, table: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, levels): for every base a row of levels, (contexts, event before, event): running chances of the events.
+
+    Bases are taken together by their context as text, so a table is looked up once for each text and event before.
+    """
+    radius, befores = k // 2, (*EVENTS, "Beg")
+
+    def rows(context: str) -> list[np.ndarray]:
+        found = [np.array(table.get((context, b)) or table.get(("", b)) or table[("", "")], float) for b in befores]
+        return [np.cumsum(p / p.sum()) for p in found]
+
+    if not any(c for c, _ in table):
+        return np.zeros(len(data), np.int64), np.array([rows("")])
+    size = np.diff(bounds)
+    # Every read with `radius` zero bytes on both sides.
+    shift = np.repeat((2 * np.arange(len(size)) + 1) * radius, size)
+    wide = np.zeros(len(data) + 2 * radius * len(size), np.uint8)
+    at = np.arange(len(data)) + shift
+    wide[at] = data
+    windows = np.stack([wide[at + j] for j in range(-radius, radius + 1)], axis=1)
+    texts, which = np.unique(np.ascontiguousarray(windows).view(f"V{2 * radius + 1}").reshape(-1), return_inverse=True)
+    return which.reshape(-1), np.array([rows(t.tobytes().replace(b"\0", b"").decode("latin-1")) for t in texts]).reshape(-1, len(befores), 4)
+
+
+def markov_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, table: dict, substitution: dict, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """k-mer context and the event before decide between Ins, Del, Sub and Tra; an insertion consumes no base.
+
+    All reads of a batch go one event on at a time; a draw is a hash of the read's key and the event's number.
+    """
+    which, levels = _contexts(data, bounds, table, k)
+    letters, low = np.frombuffer(BASES.encode(), np.uint8), np.uint64(0xFFFFFFFF)
+    swaps = np.zeros((256, 4))
+    for b in range(256):
+        q = np.array([w if x != chr(b) else 0.0 for x, w in zip(BASES, substitution.get(chr(b), (1, 1, 1, 1)), strict=True)], float)
+        swaps[b] = np.cumsum(q / q.sum()) if q.sum() else 1.0
+    at, last = bounds[:-1].copy(), np.full(len(bounds) - 1, 4)
+    live, step, trail = np.flatnonzero(np.diff(bounds) > 0), 0, []
+    while len(live):
+        here = at[live]
+        h = _mixed(keys[live] + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        u, v = (h >> np.uint64(32)) / 2.0**32, (h & low) / 2.0**32
+        event = np.minimum((levels[which[here], last[live]] <= u[:, None]).sum(axis=1), 3)
+        own = data[here]
+        swapped = letters[np.minimum((swaps[own] <= v[:, None]).sum(axis=1), 3)]
+        new = np.where(event == 0, letters[(v * 4).astype(np.int64)], np.where(event == 2, swapped, own))
+        trail.append((live, event, here, new))
+        last[live] = event
+        at[live] = here + (event != 0)
+        live, step = live[at[live] < bounds[live + 1]], step + 1
+    if not trail:
+        trail.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)))
+    read, event, here, new = (np.concatenate([t[j] for t in trail]) for j in range(4))
+    order = np.argsort(read, kind="stable")
+    read, event, here, new = read[order], event[order], here[order], new[order]
+    firsts = np.arange(len(bounds))
+    stays, edit = event != 1, event != 3
+    upto = np.searchsorted(read[stays], firsts)
+    edits = _edit_lists(np.searchsorted(read[edit], firsts), event[edit], (here - bounds[read])[edit], data[here[edit]], new[edit])
+    return new[stays], upto, edits
 
 
 def channel_markov(
@@ -329,19 +390,17 @@ def channel_markov(
     if p_ins + p_del + p_sub > 1:
         raise ValueError("rates add up to more than 1")
     table = table or {("", ""): (p_ins, p_del, p_sub, 1 - p_ins - p_del - p_sub)}
-    run = _with_rng(lambda g, s: markov(g, s, table, substitution or {}, k), seed, EDITS, _edited)
-    return reads.withColumn("mutated", run("dna", "payload_id", "strand_idx", "copy_no"))
+    return _mutated(reads, "markov", seed, lambda data, bounds, keys: markov_batch(data, bounds, keys, table, substitution or {}, k))
 
 
 def burst(reads: DataFrame, window: int, rate: float, seed: int = 0) -> DataFrame:
     """Insertions, deletions and substitutions in equal parts, inside one random window only."""
 
-    def hit(g: np.random.Generator, s: str) -> tuple[str, list]:
-        at = int(g.integers(max(1, len(s) - window + 1)))
-        mid, edits = indel(g, s[at : at + window], rate / 3, rate / 3, rate / 3)
-        return s[:at] + mid + s[at + window :], [(m, p + at, a, b) for m, p, a, b in edits]
+    def hit(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        first = _mixed(keys ^ np.uint64(0xA0761D6478BD642F)) % np.maximum(1, np.diff(bounds) - window + 1).astype(np.uint64)
+        return indel_batch(data, bounds, keys, rate / 3, rate / 3, rate / 3, window=(first.astype(np.int64), window))
 
-    return reads.withColumn("mutated", _with_rng(hit, seed, EDITS, _edited)("dna", "payload_id", "strand_idx", "copy_no"))
+    return _mutated(reads, "burst", seed, hit)
 
 
 def gc_rate(seq: Column, low: float, high: float) -> Column:
@@ -420,11 +479,64 @@ def alignment_rates(pairs: DataFrame, a: str = "dna", b: str = "read") -> DataFr
 
 def estimate_channel(edits: DataFrame, seq: str = "dna", k: int = 3) -> DataFrame:
     """reads with mutated.edits -> context, event, n, rate: how often each event follows a context."""
-    radius = k // 2
-    place = edits.select(F.col(seq).alias("s"), F.explode(F.sequence(F.lit(0), F.char_length(seq) - 1)).alias("pos"), F.col("mutated.edits").alias("e")).filter(F.char_length("s") > 0)
-    event = F.coalesce(F.get(F.filter("e", lambda x: x["pos"] == F.col("pos")), F.lit(0))["mode"], F.lit("transmission"))
-    start = F.greatest(F.col("pos") - radius, F.lit(0))
-    context = F.substring(F.col("s"), start + 1, F.col("pos") + radius + 1 - start)
-    n = place.select(context.alias("context"), event.alias("event")).groupBy("context", "event").agg(F.count("*").alias("n"))
+    counted = edits.select(F.col(seq).alias("s"), F.col("mutated.edits").alias("e")).filter(F.char_length("s") > 0).mapInArrow(_event_counter(k // 2), "context string, event string, n long")
+    n = counted.groupBy("context", "event").agg(F.sum("n").alias("n"))
     total = n.groupBy("context").agg(F.sum("n").alias("total"))
     return n.join(total, "context").select("context", "event", "n", (F.col("n") / F.col("total")).alias("rate"))
+
+
+def _event_counter(radius: int) -> Callable:
+    """Batches of (s, e) -> context, event, n: the events at a batch's bases. Of several edits at a place the first counts."""
+
+    def by_rows(rows: list[dict]) -> Counter:
+        """The same a character at a time, where some aren't one byte."""
+        found: Counter = Counter()
+        for x in rows:
+            first: dict = {}
+            for e in x["e"] or []:
+                first.setdefault(e["pos"], e["mode"])
+            found.update((x["s"][max(0, i - radius) : i + radius + 1], first.get(i) or "transmission") for i in range(len(x["s"])))
+        return found
+
+    def part(batch: pa.RecordBatch) -> Counter:
+        data, bounds, _ = flat(batch.column(0))
+        if (data >= 128).any():
+            return by_rows(batch.to_pylist())
+        lists = batch.column(1)
+        edits = lists.flatten()
+        row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        modes = edits.field("mode").dictionary_encode()
+        names = ["transmission", *(m or "transmission" for m in modes.dictionary.to_pylist())]
+        pos = pc.fill_null(edits.field("pos"), -1).to_numpy(zero_copy_only=False)
+        mode = pc.fill_null(modes.indices, -1).to_numpy(zero_copy_only=False) + 1
+        inside = (pos >= 0) & (pos < np.diff(bounds)[row])
+        event = np.zeros(len(data), np.int64)
+        event[(bounds[row] + pos)[inside][::-1]] = mode[inside][::-1]  # the first at a place is written last
+        shift = np.repeat((2 * np.arange(len(batch)) + 1) * radius, np.diff(bounds))
+        wide = np.zeros(len(data) + 2 * radius * len(batch), np.uint8)
+        at = np.arange(len(data)) + shift
+        wide[at] = data
+        code = event.astype(np.uint8)
+        columns = [wide[at + j] for j in range(-radius, radius + 1)] + [code]
+        if len(columns) <= 8:
+            key = np.zeros(len(data), np.uint64)
+            for c in columns:
+                key = key << np.uint64(8) | c
+            kinds, n = np.unique(key, return_counts=True)
+            texts = [int(x).to_bytes(len(columns), "big") for x in kinds]
+        else:
+            kinds, n = np.unique(np.ascontiguousarray(np.stack(columns, axis=1)).view(f"V{len(columns)}").reshape(-1), return_counts=True)
+            texts = [x.tobytes() for x in kinds]
+        found: Counter = Counter()
+        for t, m in zip(texts, n.tolist(), strict=True):
+            found[t[:-1].replace(b"\0", b"").decode(), names[t[-1]]] += m
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for i in range(0, batch.num_rows, READS):
+                found.update(part(batch.slice(i, READS)))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([e for _, e in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["context", "event", "n"])
+
+    return run

@@ -38,3 +38,65 @@ def test_substitutions_are_the_expressions(spark, distinct):
     got = channels.substitute_iid(reads, 0.3, 5, distinct)
     assert "transform" not in got._jdf.queryExecution().optimizedPlan().toString(), "an expression a base"
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def _columns(seqs):
+    return kernels.flat(pa.array(seqs))[:2]
+
+
+def test_markov_of_a_batch():
+    """Rates of the events by context and event before, edits that rebuild reads, independence of how reads are batched."""
+    r = random.Random(4)
+    seqs = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 200))) for _ in range(600)]
+    keys = channels._mixed(np.arange(600, dtype=np.uint64))
+    table = {("", ""): (0.02, 0.03, 0.05, 0.9), ("ACG", "Tra"): (0.0, 1.0, 0.0, 0.0), ("", "Del"): (0.0, 0.0, 0.0, 1.0)}
+    swap = {"A": (0, 1, 0, 0)}
+    data, bounds = _columns(seqs)
+    out, ends, edits = channels.markov_batch(data, bounds, keys, table, swap, 3)
+    texts, n = kernels.column_of(out, ends, None, pa.string()).to_pylist(), {"insertion": 0, "deletion": 0, "mismatch": 0}
+    for seq, text, own in zip(seqs, texts, edits.to_pylist(), strict=True):
+        rebuilt, at, gone = "", 0, set()
+        for e in own:
+            rebuilt += seq[at : e["pos"]] + e["mod"]
+            at = e["pos"] + (e["mode"] != "insertion")
+            n[e["mode"]] += seq[e["pos"] - 1 : e["pos"] + 2] != "ACG"
+            assert e["mode"] != "mismatch" or e["mod"] == "C" if e["orig"] == "A" else e["mod"] != (e["orig"] or "-")
+            gone |= {e["pos"]} if e["mode"] == "deletion" else set()
+        assert rebuilt + seq[at:] == text and not {i + 1 for i in gone} & gone
+        edited = {e["pos"] for e in own}
+        assert all(i in gone for i in range(1, len(seq) - 1) if seq[i - 1 : i + 2] == "ACG" and not {i - 1, i} & edited)
+    total = sum(map(len, seqs))
+    assert all(abs(n[k] / total - p) < 0.008 for k, p in (("insertion", 0.02), ("deletion", 0.03), ("mismatch", 0.05)))
+    d2, b2 = _columns(seqs[100:])
+    assert kernels.column_of(*channels.markov_batch(d2, b2, keys[100:], table, swap, 3)[:2], None, pa.string()).to_pylist() == texts[100:]
+
+
+_EDITED = [
+    ("ACGTA", [("insertion", 1, "", "T"), ("insertion", 1, "", "G"), ("deletion", 1, "C", "")]), ("ACGTA", [("mismatch", 4, "A", "C"), ("insertion", 0, "", "T"), ("mismatch", 4, "A", "G")]),
+    ("éCG", [("deletion", 0, "é", ""), ("insertion", 9, "", "A")]), ("AA", []), ("", []), (None, []), ("ACGT", None),
+]
+
+
+def _edited(spark, rows):
+    return spark.createDataFrame([(s, (None, e)) for s, e in rows], "dna string, mutated struct<seq:string,edits:array<struct<mode:string,pos:int,orig:string,mod:string>>>")
+
+
+def test_edits_are_applied(spark):
+    from strandweave.operators import qc
+
+    found = qc.apply_edits(_edited(spark, _EDITED))
+    assert [x.rebuilt for x in found.collect()] == ["ATGGTA", "TACGTC", "CG", "AA", "", "", ""]
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString(), "a look through all edits for each base"
+
+
+def test_estimate_counts_events(spark):
+    """Odd letters, several edits at a place (the first counts), no edits; and no row a base."""
+    for rows in (_EDITED, [x for x in _EDITED if "é" not in (x[0] or "")]):
+        want = {}
+        for s, e in rows:
+            for i in range(len(s or "")):
+                event = next((m for m, p, *_ in e or [] if p == i), "transmission")
+                want[s[max(0, i - 1) : i + 2], event] = want.get((s[max(0, i - 1) : i + 2], event), 0) + 1
+        got = channels.estimate_channel(_edited(spark, rows))
+        assert {(x.context, x.event): x.n for x in got.collect()} == want
+        assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
