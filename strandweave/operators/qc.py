@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,14 +149,38 @@ def _tangents(d: list[float]) -> list[float]:
 
 def apply_edits(reads: DataFrame, seq: str = "dna") -> DataFrame:
     """reads with mutated.edits -> rebuilt: the original with its edits applied; equals mutated.seq."""
-    e = F.col("mutated.edits")
-
-    def base(i: Column) -> Column:
-        own = F.filter(e, lambda x: x["pos"] == i)
-        before = F.array_join(F.transform(F.filter(own, lambda x: x["mode"] == "insertion"), lambda x: x["mod"]), "")
-        gone = F.exists(own, lambda x: x["mode"] == "deletion")
-        new = F.get(F.filter(own, lambda x: x["mode"] == "mismatch"), F.lit(0))["mod"]
-        return F.concat(before, F.when(gone, F.lit("")).otherwise(F.coalesce(new, F.substring(F.col(seq), i + 1, F.lit(1)))))
-
-    n = F.char_length(seq)
-    return reads.withColumn("rebuilt", F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), base), "")).otherwise(F.lit("")))
+    return reads.withColumn("rebuilt", F.arrow_udf(_rebuilt, "string")(seq, "mutated.edits"))
+
+
+def _rebuilt(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Strands with their edits applied: only places with an edit are touched. At a place insertions come first, in their order, then the base, its first replacement, or nothing."""
+    for seqs, lists in batches:
+        edits = lists.flatten()
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
+        mode, pos, mod = (edits.field(f).to_pylist() for f in ("mode", "pos", "mod"))
+        whole = pc.is_valid(lists).to_pylist()
+        out = []
+        for r, s in enumerate(seqs.to_pylist()):
+            if not s or not whole[r]:
+                out.append("")
+                continue
+            pieces, done = [], 0
+            order = sorted((j for j in range(ends[r], ends[r + 1]) if pos[j] is not None and 0 <= pos[j] < len(s)), key=lambda j: pos[j])
+            i = 0
+            while i < len(order):
+                p = pos[order[i]]
+                pieces.append(s[done:p])
+                gone, new = False, None
+                while i < len(order) and pos[order[i]] == p:
+                    j = order[i]
+                    if mode[j] == "insertion":
+                        pieces.append(mod[j] or "")
+                    elif mode[j] == "deletion":
+                        gone = True
+                    elif mode[j] == "mismatch" and new is None:
+                        new = mod[j]
+                    i += 1
+                pieces.append("" if gone else s[p] if new is None else new)
+                done = p + 1
+            out.append("".join([*pieces, s[done:]]))
+        yield pa.array(out, pa.string())
