@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +44,29 @@ def mapped(name: str, kind: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield column_of(*fn(*flat(column)), arrow)
+            for rows in sliced(column):
+                yield column_of(*fn(*flat(rows)), arrow)
 
     run.__name__ = name
     return F.arrow_udf(run, kind)
 
 
+#: Bytes of a column that a kernel takes at a time, one row at least: results are up to eight times as large.
+PART = 1 << 20
+
+
+def sliced(column: pa.Array) -> Iterator[pa.Array]:
+    """column in consecutive pieces of about PART bytes; an empty one as it is."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        yield column.slice(at, upto - at)
+        at = upto
+    if not len(column):
+        yield column
+
+
 def _spread(codes: np.ndarray) -> Callable:
     """Each byte as a row of codes (256, width)."""
     width = codes.shape[1]
@@ -61,8 +79,9 @@ def _gathered(codes: np.ndarray, width: int) -> Callable:
 
     def run(data: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None) -> tuple:
         digit = codes[data]
-        bad = np.concatenate(([0], np.cumsum(digit == 255)))
-        good = (np.diff(bounds) % width == 0) & (bad[bounds[1:]] == bad[bounds[:-1]])
+        good = np.diff(bounds) % width == 0
+        bad = np.flatnonzero(digit == 255)
+        good[np.searchsorted(bounds, bad, "right") - 1] = False
         if valid is not None:
             good &= valid
         size = np.where(good, np.diff(bounds), 0)

@@ -100,3 +100,31 @@ def test_estimate_counts_events(spark):
         got = channels.estimate_channel(_edited(spark, rows))
         assert {(x.context, x.event): x.n for x in got.collect()} == want
         assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kernels_take_parts(monkeypatch):
+    """However large a batch is, a kernel holds a part of it at a time; rows keep their places."""
+    monkeypatch.setattr(kernels, "PART", 100)
+    column = pa.array([b"x" * n if n % 7 else None for n in range(60)] + [b"y" * 1000, b""], pa.binary())
+    parts = list(kernels.sliced(column))
+    assert pa.concat_arrays(parts).equals(column) and len(parts) > 10
+    assert all(len(p) == 1 or sum(len(x or b"") for x in p.to_pylist()) <= 100 for p in parts)
+    assert len(list(kernels.sliced(column.slice(0, 0)))) == 1
+
+
+def test_bits_of_many_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, bytearray(b"ab\xff" * (i % 50000))) for i in (0, 1, 49_999, 49_998, 3)] + [(9, None)], "i int, content binary")
+    back = rows.select("i", (kernels.bits_to_bytes(kernels.bytes_to_bits(F.col("content"))) == F.col("content")).alias("same"))
+    assert sorted(map(tuple, back.collect()), key=str) == [(0, True), (1, True), (3, True), (49998, True), (49999, True), (9, None)]
+
+
+def test_qualities_are_not_broadcast(spark):
+    """Gaps, repeated reads and reads without a profile; the profile's size isn't taken from the file's."""
+    from strandweave.operators import qc
+
+    reads = spark.createDataFrame([(1, "ACGT"), (2, "AC"), (3, ""), (4, "ACG")], "read_id long, seq string")
+    profile = spark.createDataFrame([(1, 1, 0.1), (1, 3, 1.0), (2, 0, 0.01), (2, 1, 0.001), (4, 2, 0.5), (4, 0, 0.5), (4, 1, 0.1)], "read_id long, pos int, prob double")
+    got = qc.fastq_quality(reads, profile)
+    assert {x.read_id: x.quality for x in got.collect()} == {1: "I+I!", 2: "5?", 3: "", 4: "$+$"}
+    plan = catalog.queries()["fastq_quality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
