@@ -103,9 +103,12 @@ def phred(p: Column, odds: bool = False) -> Column:
 
 def fastq_quality(reads: DataFrame, profile: DataFrame, seq: str = "seq") -> DataFrame:
     """reads with quality: a character per base from the stacked profile; positions without a probability get the best."""
-    got = profile.groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "prob"))).alias("p"))
-    chars = F.transform(F.sequence(F.lit(0), F.char_length(seq) - 1), lambda i: phred(F.coalesce(F.try_element_at("p", i), F.lit(0.0))))
-    return reads.join(got, "read_id", "left").withColumn("quality", F.when(F.char_length(seq) > 0, F.array_join(chars, "")).otherwise(F.lit(""))).drop("p")
+    got = profile.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "prob"))).alias("p"))
+    # Positions from 0 on without a gap are found by their place; a search is for others.
+    at = lambda i: bits.let(F.get("p", i), lambda x: F.when(x["pos"] == i, x["prob"]).otherwise(F.get(F.filter("p", lambda y: y["pos"] == i), F.lit(0))["prob"]))
+    chars = F.transform(F.sequence(F.lit(0), F.char_length(seq) - 1), lambda i: phred(F.coalesce(at(i), F.lit(0.0))))
+    # A profile is larger than its estimate from the reads' file says: it must not be broadcast.
+    return reads.join(got.hint("merge"), "read_id", "left").withColumn("quality", F.when(F.char_length(seq) > 0, F.array_join(chars, "")).otherwise(F.lit(""))).drop("p")
 
 
 def curve(points: list[tuple[float, float]], x: Column, smooth: bool = False) -> Column:
