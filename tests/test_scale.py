@@ -128,3 +128,32 @@ def test_qualities_are_not_broadcast(spark):
     assert {x.read_id: x.quality for x in got.collect()} == {1: "I+I!", 2: "5?", 3: "", 4: "$+$"}
     plan = catalog.queries()["fastq_quality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("nsym,m,k", [(1, 8, 9), (3, 8, 21), (20, 8, 235), (8, 14, 30)])
+def test_words_are_corrected_together(nsym, m, k, monkeypatch):
+    """As one by one, for words with too many errors too; none is corrected alone."""
+    from strandweave.ecc.reed_solomon import Code
+
+    g, c = np.random.default_rng(nsym), Code(nsym, m)
+    words = c.encode(g.integers(0, 1 << m, (200, k)))
+    for i in range(200):
+        places = g.choice(k + nsym, int(g.integers(0, nsym + 2)), replace=False)
+        words[i, places] ^= g.integers(1, 1 << m, len(places))
+    want = [c.correct(w) for w in words]
+    monkeypatch.setattr(Code, "correct", None)
+    got, ok = c.decode(words)
+    assert ok.tolist() == [w is not None for w in want] and 0 < ok.sum() < 200
+    assert (got == np.array([x if w is None else w for x, w in zip(words, want, strict=True)])[:, :k]).all()
+
+
+def test_columns_of_words():
+    from strandweave.ecc import reed_solomon as rs
+
+    r = random.Random(6)
+    rows = [None, b"", *[r.randbytes(r.choice([1, 5, 234, 235, 236, 470, 1000])) for _ in range(40)]]
+    coded = rs.protected(pa.array(rows, pa.binary()), 20).to_pylist()
+    assert coded == [None if x is None else rs.protect(x, 20) for x in rows]
+    hit = [x if not x else bytes(b ^ 255 if i % r.choice([9, 30, 50]) == 0 else b for i, b in enumerate(x))[: r.choice([10, 300, 5000])] for x in coded]
+    want = [(None, False) if x is None else rs.restore(x, 20) for x in hit]
+    assert [(x["content"], x["ok"]) for x in rs.restored(pa.array(hit, pa.binary()), 20).to_pylist()] == want
