@@ -108,6 +108,13 @@ def _codes(alphabet: str) -> np.ndarray:
     return table
 
 
+def bits_of_letters(zero: str, one: str) -> np.ndarray:
+    """For every byte, 1 if it is a letter of `one`, else 0."""
+    table = np.zeros(256, np.uint8)
+    table[list(zero.encode())], table[list(one.encode())] = 0, 1
+    return table
+
+
 def bytes_to_dna(content: Column, order: str = DENSE) -> Column:
     """Four bases a byte, big-endian; order has the bases of 00, 01, 10, 11."""
     return mapped("bytes_to_dna", "string", _spread(_letters(order, 4)))(content)

@@ -6,8 +6,15 @@ Every strand carries its place, so no operator relies on the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bits, kernels, nt
 from ..plans.codec_plan import StrandPlan, index_length
@@ -116,48 +123,171 @@ def segments(payload: DataFrame, capacity: int, index_bits: int, redundancy: boo
     With redundancy every third segment is the XOR of the two data segments
     before it (of the one, if the last pair is short).
     """
-    k = capacity - index_bits
-    cut = payload.select("payload_id", F.posexplode(bits.pieces(bits.bytes_to_bits(F.col("content")), k)).alias("i", "part")).withColumn("part", F.rpad("part", k, "0"))
-    if not redundancy:
-        out = cut.select("payload_id", F.col("i").alias("seg_idx"), "part")
-    else:
-        pair = F.floor(F.col("i") / 2).cast("int")
-        data = cut.select("payload_id", (pair * 3 + F.col("i") % 2).cast("int").alias("seg_idx"), "part")
-        two = cut.groupBy("payload_id", pair.alias("pair")).agg(F.min(F.struct("i", "part")).alias("a"), F.max(F.struct("i", "part")).alias("b"))
-        zero = F.lit("0" * k)
-        parity = two.select("payload_id", (F.col("pair") * 3 + 2).cast("int").alias("seg_idx"), bits.xor(F.col("a.part"), F.when(F.col("a.i") == F.col("b.i"), zero).otherwise(F.col("b.part"))).alias("part"))
-        out = data.unionByName(parity)
-    return out.select("payload_id", "seg_idx", F.concat(bits.digits(F.col("seg_idx"), 2, index_bits), "part").alias("bits"))
-
-
-def repair_segments(found: DataFrame, sizes: DataFrame, index_bits: int, redundancy: bool = False) -> DataFrame:
+    cut = F.arrow_udf(_cutter(capacity - index_bits, index_bits, redundancy), "array<string>")("content")
+    return payload.select("payload_id", F.posexplode(cut).alias("seg_idx", "bits")).filter(F.col("bits").isNotNull())
+
+
+def _cutter(k: int, index_bits: int, redundancy: bool) -> Callable:
+    """Contents -> their segments, a list a content; null gives null."""
+
+    def part(column: pa.Array) -> pa.Array:
+        data, bounds, valid = kernels.flat(column)
+        n = -(-np.diff(bounds) * 8 // k)
+        row = np.repeat(np.arange(len(n)), n)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = (8 * bounds[row] + i * k)[:, None] + np.arange(k)
+        flags = np.append(np.unpackbits(data), 0).astype(np.uint8)
+        cells = flags[np.where(at < (8 * bounds[row + 1])[:, None], at, len(flags) - 1)]
+        if redundancy:
+            # Two of data and their parity in the room of three.
+            pair = i // 2
+            pairs = (n + 1) // 2
+            first = (np.cumsum(pairs) - pairs)[row] + pair
+            three = np.zeros((int(pairs.sum()), 3, k), np.uint8)
+            three[first, i % 2] = cells
+            three[:, 2] = three[:, 0] ^ three[:, 1]
+            there = np.ones((len(three), 3), bool)
+            there[(np.cumsum(pairs) - 1)[(n % 2 == 1)], 1] = False
+            cells, size = three[there], n + pairs
+            place = (np.arange(len(three)) - np.repeat(np.cumsum(pairs) - pairs, pairs))[:, None] * 3 + np.arange(3)
+            place = place[there]
+        else:
+            size, place = n, i
+        index = place[:, None] >> np.arange(index_bits - 1, -1, -1) & 1 if index_bits else np.zeros((len(place), 0), np.int64)
+        text = np.concatenate((index.astype(np.uint8), cells), axis=1) + np.uint8(48)
+        texts = kernels.column_of(text.reshape(-1), np.arange(len(text) + 1) * (index_bits + k), None, pa.string())
+        # The place is the index that the segment carries: a short pair has no second, so a null stands there.
+        full = np.full(int(3 * ((n + 1) // 2).sum()) if redundancy else len(place), -1, np.int64)
+        ends = np.concatenate(([0], np.cumsum(3 * ((n + 1) // 2) if redundancy else n)))
+        full[ends[np.repeat(np.arange(len(n)), size)] + place] = np.arange(len(place))
+        taken = texts.take(pa.array(full, pa.int64(), mask=full < 0))
+        mask = None if valid is None else pa.array(~valid)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken, mask=mask)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            for rows in kernels.sliced(column):
+                yield part(rows)
+
+    return run
+
+
+def repair_segments(found: DataFrame, sizes: DataFrame, index_bits: int, redundancy: bool = False, capacity: int | None = None) -> DataFrame:
     """found (payload_id, bits), sizes (payload_id, n_bits) -> payload_id, bits, n_lost, n_repaired.
 
     Data segments that are missing are rebuilt from the other two of their
-    triple; what stays lost is counted and filled with 0.
+    triple; what stays lost is counted and filled with 0. Without the capacity
+    the widest segment found tells it, which reads them twice.
     """
-    one = found.select("payload_id", F.conv(F.left("bits", F.lit(index_bits)), 2, 10).cast("long").alias("seg_idx"), F.substring(F.col("bits"), F.lit(index_bits + 1), F.char_length("bits")).alias("part"))
-    one = one.groupBy("payload_id", "seg_idx").agg(F.max("part").alias("part"))
-    per = 3 if redundancy else 1
-    group = one.groupBy("payload_id", F.floor(F.col("seg_idx") / per).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("seg_idx") % per).cast("int").alias("r"), "part"))).alias("has"))
-    if redundancy:
-        a, b, p = (F.try_element_at("has", F.lit(r)) for r in range(3))
-        first, second = F.coalesce(a, bits.xor(b, p)), F.coalesce(b, bits.xor(a, p))
-        repaired = F.when(a.isNull() & first.isNotNull(), 1).otherwise(0) + F.when(b.isNull() & second.isNotNull(), 1).otherwise(0)
-        group = group.select("payload_id", F.explode(F.array(F.struct((F.col("g") * 2).alias("i"), first.alias("part"), repaired.alias("r"), p.alias("lone")), F.struct((F.col("g") * 2 + 1).alias("i"), second.alias("part"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("lone")))).alias("x")).select("payload_id", "x.*")
-    else:
-        group = group.select("payload_id", F.col("g").alias("i"), F.try_element_at("has", F.lit(0)).alias("part"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("lone"))
-    width = one.agg(F.max(F.char_length("part")).alias("k"))
-    wanted = sizes.join(F.broadcast(width), F.lit(True)).select("payload_id", "n_bits", "k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_bits") / F.col("k")).cast("int") - 1)).alias("i"))
-    # The last segment of an odd number is its own parity.
-    alone = (wanted["i"] % 2 == 0) & (wanted["i"] == F.ceil(F.col("n_bits") / F.col("k")) - 1)
-    part = F.coalesce("part", F.when(alone, F.col("lone")))
-    joined = wanted.join(group.withColumnRenamed("payload_id", "pid"), (F.col("payload_id") == F.col("pid")) & (wanted["i"] == group["i"]), "left")
-    all_ = joined.select("payload_id", "n_bits", wanted["i"], F.coalesce(part, F.expr("repeat('0', k)")).alias("part"), part.isNull().cast("int").alias("lost"), (F.coalesce("r", F.lit(0)) + (F.col("part").isNull() & part.isNotNull()).cast("int")).alias("r"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "part")))
-    return all_.groupBy("payload_id").agg(
-        F.left(F.array_join(F.transform(parts, lambda x: x["part"]), ""), F.max("n_bits").cast("int")).alias("bits"), F.sum("lost").alias("n_lost"), F.sum("r").alias("n_repaired")
-    )
+    back = _repaired(found, sizes, index_bits, redundancy, capacity, _LETTERS["01"])
+    return back.select("payload_id", F.left(kernels.bytes_to_bits(F.col("packed")), F.col("n_bits").cast("int")).alias("bits"), "n_lost", "n_repaired")
+
+
+#: The bit of every letter.
+_LETTERS = {"01": kernels.bits_of_letters("0", "1"), "ACGT": kernels.bits_of_letters("AC", "GT")}
+
+
+def _repaired(found: DataFrame, sizes: DataFrame, index_bits: int, redundancy: bool, capacity: int | None, letters: np.ndarray) -> DataFrame:
+    """As repair_segments from segments in any letters -> payload_id, n_bits, packed (bits as bytes, the last filled with 0), n_lost, n_repaired.
+
+    Segments cross one exchange packed to an eighth, those of a payload that a
+    batch holds as one row, and a payload is put together from those rows.
+    """
+    keys = found.schema["payload_id"]
+    rows = found.select("payload_id", F.col("bits"))
+    if capacity is None:
+        width = rows.agg(F.max(F.char_length("bits"))).first()[0]
+        capacity = width if width is not None else index_bits + 1
+    k = capacity - index_bits
+    packed = T.StructType([keys, T.StructField("n_bits", T.LongType()), T.StructField("kept", T.BinaryType())])
+    kept = rows.filter(F.col("bits").isNotNull()).mapInArrow(_packer(index_bits, k, letters), packed)
+    wanted = sizes.filter("n_bits is not null").select("payload_id", F.col("n_bits").cast("long").alias("n_bits"), F.lit(None).cast("binary").alias("kept"))
+    made = T.StructType([keys, T.StructField("n_bits", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("n_lost", T.LongType()), T.StructField("n_repaired", T.LongType())])
+    return kept.unionByName(wanted).repartition("payload_id").sortWithinPartitions("payload_id").mapInArrow(_joiner(k, redundancy, made.names), made)
+
+
+def _packer(index_bits: int, k: int, letters: np.ndarray) -> Callable:
+    """(payload_id, bits) -> payload_id, n_bits null, kept: of each run of a payload's segments their numbers (8 bytes each), then their bits. Shorter ones are filled with 0, longer ones cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            data, bounds, _ = kernels.flat(batch.column(1))
+            n = len(batch)
+            at = bounds[:-1, None] + np.arange(index_bits + k)
+            flags = np.append(letters[data], 0).astype(np.uint8)
+            cells = flags[np.where(at < bounds[1:, None], at, len(flags) - 1)]
+            number = np.zeros(n, np.int64)
+            for j in range(index_bits):
+                number = number * 2 + cells[:, j]
+            record = np.concatenate((number.astype("<i8").view(np.uint8).reshape(n, 8), np.packbits(cells[:, index_bits:], axis=1)), axis=1)
+            new = np.ones(n, bool)
+            new[1:] = np.array(pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, max(0, n - 1))), True), bool)
+            starts = np.flatnonzero(new)
+            blobs = kernels.column_of(record.reshape(-1), np.append(starts, n) * record.shape[1], None, pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.nulls(len(starts), pa.int64()), blobs], names=["payload_id", "n_bits", "kept"])
+
+    return run
+
+
+def _joiner(k: int, redundancy: bool, names: list[str]) -> Callable:
+    """Rows in order of their payload (payload_id, n_bits or null, kept or null) -> one row for each payload that has a size."""
+    wide = 8 + (k + 7) // 8
+
+    def one(n_bits: int, blobs: list[bytes]) -> tuple[bytes, int, int]:
+        have = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, wide)
+        number, own = have[:, :8].copy().view("<i8").reshape(-1), have[:, 8:]
+        n = -(-n_bits // k)
+        total = (n + 1) // 2 * 3 if redundancy else n
+        known, cells = np.zeros(total, bool), np.zeros((total, wide - 8), np.uint8)
+        inside = np.flatnonzero(number < total)
+        # Of two with one number the greater text counts: it is written last.
+        if len(np.unique(number[inside])) < len(inside):
+            inside = np.array(sorted(inside.tolist(), key=lambda i: own[i].tobytes()), np.int64)
+        known[number[inside]] = True
+        cells[number[inside]] = own[inside]
+        repaired = 0
+        if redundancy:
+            there, three = known.reshape(-1, 3), cells.reshape(-1, 3, wide - 8)
+            if n % 2:  # the second of the last pair is all 0 and isn't sent
+                there[-1, 1], three[-1, 1] = True, 0
+            for a, b in ((0, 1), (1, 0)):
+                lost = ~there[:, a] & there[:, b] & there[:, 2]
+                three[lost, a] = three[lost, b] ^ three[lost, 2]
+                repaired += int(lost.sum())
+                there[lost, a] = True
+            known, cells = there[:, :2].reshape(-1)[:n], three[:, :2].reshape(-1, wide - 8)[:n]
+        flags = np.unpackbits(cells, axis=1)[:, :k].reshape(-1)[:n_bits]
+        return np.packbits(flags).tobytes(), int(n - known.sum()), repaired
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        ids, out = [], []
+        rows = zip(*[table.column(c).to_pylist() for c in range(3)], strict=True)
+        for key, group in groupby(rows, key=lambda x: x[0]):
+            group = list(group)
+            n_bits = next((x[1] for x in group if x[1] is not None), None)
+            if n_bits is not None and key is not None:
+                ids.append(key)
+                out.append((n_bits, *one(n_bits, [x[2] for x in group if x[2] is not None])))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ids, table.column(0).type), *[pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            ids = table.column(0).combine_chunks()
+            # The last payload may go on in the next batch.
+            same = np.array(pc.fill_null(pc.equal(ids, ids[len(ids) - 1]), False), bool) if len(ids) else np.zeros(0, bool)
+            last = len(same) - int(same.sum())
+            if last:
+                yield done(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield done(rest)
+
+    return run
 
 
 # church ----------------------------------------------------------------------------------------
@@ -179,10 +309,11 @@ def encode_church(payload: DataFrame, capacity: int = 200, index_bits: int = 16,
     return seg.select("payload_id", F.col("seg_idx").alias("strand_idx"), church_bases(F.col("bits"), run).alias("dna"))
 
 
-def decode_church(strand: DataFrame, sizes: DataFrame, index_bits: int = 16, redundancy: bool = False) -> DataFrame:
-    """strand (payload_id, dna), sizes (payload_id, n_bits) -> payload_id, content, n_lost, n_repaired."""
-    found = strand.filter(nt.valid(F.col("dna"))).select("payload_id", church_bits(F.col("dna")).alias("bits"))
-    return repair_segments(found, sizes, index_bits, redundancy).select("payload_id", bits.bits_to_bytes(F.col("bits")).alias("content"), "n_lost", "n_repaired")
+def decode_church(strand: DataFrame, sizes: DataFrame, index_bits: int = 16, redundancy: bool = False, capacity: int | None = None) -> DataFrame:
+    """strand (payload_id, dna), sizes (payload_id, n_bits) -> payload_id, content, n_lost, n_repaired. content is null unless the bits are whole bytes."""
+    found = strand.filter(nt.valid(F.col("dna"))).select("payload_id", F.col("dna").alias("bits"))
+    back = _repaired(found, sizes, index_bits, redundancy, capacity, _LETTERS["ACGT"])
+    return back.select("payload_id", F.when(F.col("n_bits") % 8 == 0, F.col("packed")).alias("content"), "n_lost", "n_repaired")
 
 
 def plan_segments(total_bits: int, capacity: int) -> tuple[int, int]:

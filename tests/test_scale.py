@@ -157,3 +157,42 @@ def test_columns_of_words():
     hit = [x if not x else bytes(b ^ 255 if i % r.choice([9, 30, 50]) == 0 else b for i, b in enumerate(x))[: r.choice([10, 300, 5000])] for x in coded]
     want = [(None, False) if x is None else rs.restore(x, 20) for x in hit]
     assert [(x["content"], x["ok"]) for x in rs.restored(pa.array(hit, pa.binary()), 20).to_pylist()] == want
+
+
+def _pieces(content, k, index_bits, redundancy):
+    """Segments by the definition."""
+    text = "".join(f"{b:08b}" for b in content)
+    parts = [text[i : i + k].ljust(k, "0") for i in range(0, len(text), k)]
+    out = [(i // 2 * 3 + i % 2 if redundancy else i, p) for i, p in enumerate(parts)]
+    for i in range(0, len(parts), 2) if redundancy else ():
+        other = parts[i + 1] if i + 1 < len(parts) else "0" * k
+        out.append((i // 2 * 3 + 2, "".join("01"[x != y] for x, y in zip(parts[i], other, strict=True))))
+    return sorted((n, f"{n:0{index_bits}b}" + p) for n, p in out)
+
+
+def test_segments_cross_packed(spark):
+    """Segments as defined, repairs and losses counted, duplicates and strays; no text of bits is shuffled."""
+    from strandweave.operators import codecs
+
+    r = random.Random(3)
+    contents = {i: r.randbytes(n) for i, n in enumerate([0, 1, 4, 5, 9, 50, 51, 200, 333])}
+    payload = spark.createDataFrame([(i, bytearray(c)) for i, c in contents.items()] + [(99, None)], "payload_id long, content binary")
+    for redundancy in (False, True):
+        s = codecs.segments(payload, 37, 10, redundancy)
+        assert sorted(map(tuple, s.collect())) == [(i, *x) for i, c in contents.items() for x in _pieces(c, 27, 10, redundancy)]
+        sizes = payload.filter("octet_length(content) > 0").selectExpr("payload_id", "octet_length(content) * 8 AS n_bits")
+        gone = F.pmod(F.xxhash64("payload_id", F.floor(F.col("seg_idx") / 3)), F.lit(3)) == F.col("seg_idx") % 3
+        kept = s.filter(~gone)
+        lost = s.filter(gone)
+        for capacity in (None, 37):
+            back = codecs.repair_segments(kept.unionByName(kept), sizes, 10, redundancy, capacity)
+            got = {x.payload_id: x for x in back.collect()}
+            assert set(got) == set(contents) - {0}
+            n_lost = {i: 0 for i in contents} | {x.payload_id: x["count"] for x in lost.groupBy("payload_id").count().collect()}
+            n_data = {i: 0 for i in contents} | {x.payload_id: x["count"] for x in lost.filter("seg_idx % 3 < 2").groupBy("payload_id").count().collect()}
+            for i, x in got.items():
+                text = "".join(f"{b:08b}" for b in contents[i])
+                assert (x.n_lost, x.n_repaired) == ((0, n_data[i]) if redundancy else (n_lost[i], 0))
+                assert len(x.bits) == len(text) and (x.bits == text or not redundancy and n_lost[i])
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat" not in plan and "collect_list" not in plan and "max(" not in plan
