@@ -358,10 +358,12 @@ def dna_encode_goldman(spark, d):
 def dna_decode_goldman(spark, d):
     """A quarter of the strands, chosen by hash, is lost; overlaps make up for what they can. Here the strands that each quarter needs stay."""
     p = talks(spark, d)
-    s = codecs.encode_goldman(p)
-    last = F.max("strand_idx").over(Window.partitionBy("payload_id"))
-    kept = s.withColumn("last", last).filter((F.col("strand_idx") % 4 != 2) | (F.col("strand_idx") < 3) | (F.col("strand_idx") > F.col("last") - 3))
     sizes = p.select("payload_id", F.char_length(codecs.byte_trits(F.col("content"))).alias("n_trits"))
+    # A strand's payload tells its size, so no window has to look for the last strand.
+    sized = p.select(F.struct("payload_id", F.char_length(codecs.byte_trits(F.col("content"))).alias("n_trits")).alias("payload_id"), "content")
+    last = F.greatest(F.ceil(F.col("payload_id.n_trits") / 25).cast("int") - 3, F.lit(1)) - 1
+    s = codecs.encode_goldman(sized).withColumn("last", last).withColumn("payload_id", F.col("payload_id.payload_id"))
+    kept = s.filter((F.col("strand_idx") % 4 != 2) | (F.col("strand_idx") < 3) | (F.col("strand_idx") > F.col("last") - 3))
     return codecs.decode_goldman(kept.drop("last"), sizes).select("payload_id", F.md5("content").alias("bytes_md5"), "n_quarters_lost")
 
 

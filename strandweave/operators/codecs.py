@@ -323,48 +323,81 @@ def plan_segments(total_bits: int, capacity: int) -> tuple[int, int]:
 # goldman ---------------------------------------------------------------------------------------
 
 
-def byte_trits(content: Column) -> Column:
-    """Bytes up to 235 as five trits, others as the six trits of the byte plus 472."""
+def _trits_of(b: int) -> str:
+    n, out = (b if b <= 235 else b + 472), ""
+    while n:
+        n, out = n // 3, "012"[n % 3] + out
+    return out.rjust(5, "0")
+
+
+_TRITS = [_trits_of(b) for b in range(256)]
+
+
+def _trits(data: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None) -> tuple:
+    table = np.frombuffer("".join(t.ljust(6) for t in _TRITS).encode(), np.uint8).reshape(256, 6)
+    made = table[data]
+    upto = np.concatenate(([0], np.cumsum(5 + (data > 235))))
+    return made[made != ord(" ")], upto[bounds], valid
+
+
+def _rotated(data: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None) -> tuple:
+    upto = np.concatenate(([0], np.cumsum(data.astype(np.int64) - 47)))
+    place = upto[1:] - np.repeat(upto[bounds[:-1]], np.diff(bounds))
+    return np.frombuffer(b"ACGT", np.uint8)[place % 4], bounds, valid
+
+
+def _unrotated(data: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None) -> tuple:
+    code = np.full(256, -1, np.int64)
+    code[list(b"ACGT")] = range(4)
+    place, size = code[data], np.diff(bounds)
+    before = np.concatenate(([0], place[:-1]))[: len(place)]
+    before[bounds[:-1][size > 0]] = 0
+    trit = (place - before - 1) % 4
+    good = size > 0
+    good[np.searchsorted(bounds, np.flatnonzero(trit == 3), "right") - 1] = False
+    if valid is not None:
+        good &= valid
+    return (trit[np.repeat(good, size)] + 48).astype(np.uint8), np.concatenate(([0], np.cumsum(np.where(good, size, 0)))), good
+
+
+def _trits_read(data: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None) -> tuple:
+    """All rows go on by a byte at a time: five trits, or six if those are above 22201."""
+    trit = np.append(data.astype(np.int64) - 48, [0] * 6)
+    five = np.zeros(len(data) + 1, np.int64)
+    for k in range(5):
+        five = five * 3 + trit[k : k + len(five)]
+    at, live, trail = bounds[:-1].copy(), np.arange(len(bounds) - 1), []
+    while len(live):
+        here = at[live]
+        wide = 5 + (five[here] > 235)
+        live, here, wide = (x[here + wide <= bounds[live + 1]] for x in (live, here, wide))
+        trail.append((live, np.where(wide == 5, five[here], five[here] * 3 + trit[here + 5] - 472)))
+        at[live] = here + wide
+    row, value = (np.concatenate([t[j] for t in trail] or [np.zeros(0, np.int64)]) for j in range(2))
+    order = np.argsort(row, kind="stable")
+    # Six trits of 2 stand for no byte.
+    value = np.where(value > 255, 16, value)[order].astype(np.uint8)
+    return value, np.searchsorted(row[order], np.arange(len(bounds))), valid
 
-    def one(pair: Column) -> Column:
-        v = F.conv(pair, 16, 10).cast("int")
-        return F.when(v <= 235, F.lpad(F.conv(v.cast("string"), 10, 3), 5, "0")).otherwise(F.conv((v + 472).cast("string"), 10, 3))
 
-    return F.array_join(F.transform(bits.pieces(F.hex(content), 2), one), "")
+def byte_trits(content: Column) -> Column:
+    """Bytes up to 235 as five trits, others as the six trits of the byte plus 472."""
+    return kernels.mapped("byte_trits", "string", _trits)(content)
 
 
 def rotate(trits: Column) -> Column:
     """base_i = sum of (trit + 1) up to i, modulo 4, in ACGT: never the base before."""
-    start = F.struct(F.lit(0).alias("s"), F.lit("").alias("o"))
-
-    def step(acc: Column, t: Column) -> Column:
-        s = (acc["s"] + t.cast("int") + 1) % 4
-        return F.struct(s.alias("s"), F.concat(acc["o"], F.substring(F.lit("ACGT"), s + 1, F.lit(1))).alias("o"))
-
-    return F.aggregate(F.filter(F.split(trits, ""), lambda x: x != ""), start, step, lambda acc: acc["o"])
+    return kernels.mapped("rotate", "string", _rotated)(trits)
 
 
 def unrotate(dna: Column) -> Column:
-    """Trits of a strand; null where a base repeats the one before."""
-    place = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.instr(F.lit("ACGT"), F.substring(dna, i, F.lit(1))) - 1)
-    trits = F.transform(F.sequence(F.lit(1), F.char_length(dna)), lambda i: F.pmod(place(i) - place(i - 1) - 1, F.lit(4)))
-    joined = F.array_join(F.transform(trits, lambda t: t.cast("string")), "")
-    return F.when(F.char_length(dna) > 0, bits.let(joined, lambda t: F.when(~t.contains("3"), t)))
+    """Trits of a strand; null where a base repeats the one before, and of an empty strand."""
+    return kernels.mapped("unrotate", "string", _unrotated)(dna)
 
 
 def trit_bytes(trits: Column) -> Column:
-    """Inverse of byte_trits: five trits, or six if the first five are above 22201."""
-    start = F.struct(F.lit("").alias("now"), F.lit("").alias("hex"))
-
-    def step(acc: Column, t: Column) -> Column:
-        now = F.concat(acc["now"], t)
-        n = F.char_length(now)
-        value = F.conv(now, 3, 10).cast("int")
-        done = ((n == 5) & (now <= "22201")) | (n == 6)
-        hexed = F.lpad(F.hex(F.when(n == 6, value - 472).otherwise(value).cast("long")), 2, "0")
-        return F.struct(F.when(done, F.lit("")).otherwise(now).alias("now"), F.when(done, F.concat(acc["hex"], hexed)).otherwise(acc["hex"]).alias("hex"))
-
-    return F.unhex(F.aggregate(F.filter(F.split(trits, ""), lambda x: x != ""), start, step, lambda acc: acc["hex"]))
+    """Inverse of byte_trits: five trits, or six if the first five are above 22201; what is left over is dropped."""
+    return kernels.mapped("trit_bytes", "binary", _trits_read)(trits)
 
 
 def encode_goldman(payload: DataFrame, quarter: int = 25, index_trits: int = 10) -> DataFrame:
@@ -374,9 +407,10 @@ def encode_goldman(payload: DataFrame, quarter: int = 25, index_trits: int = 10)
     right-padded with 0. Contents shorter than a window give one strand.
     """
     trits = payload.select("payload_id", byte_trits(F.col("content")).alias("t")).filter(F.char_length("t") > 0)
-    n = F.greatest(F.ceil(F.char_length("t") / quarter).cast("int") - 3, F.lit(1))
-    cut = trits.select("payload_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("strand_idx"))
-    window = F.rpad(F.substring(F.col("t"), F.col("strand_idx") * quarter + 1, F.lit(4 * quarter)), 4 * quarter, "0")
+    # Windows are made of their quarters: a substring a window would carry the whole text with each.
+    windows = bits.let(bits.pieces(F.col("t"), quarter), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 3, F.lit(1))), lambda i: F.array_join(F.slice(p, i, 4), "")))
+    cut = trits.select("payload_id", F.posexplode(windows).alias("strand_idx", "w"))
+    window = F.rpad("w", 4 * quarter, "0")
     return cut.select("payload_id", "strand_idx", rotate(F.concat(bits.digits(F.col("strand_idx"), 3, index_trits), window)).alias("dna"))
 
 
