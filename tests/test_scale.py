@@ -229,3 +229,12 @@ def test_trits_by_batches(spark):
     assert text(codecs._unrotated, ["CC", "AC", "CA", ""], pa.string()) == [None, None, "02", None]
     plan = codecs.encode_goldman(spark.createDataFrame([(1, bytearray(b"abc" * 50))], "payload_id long, content binary"))._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan, "an expression a base"
+
+
+def test_alternating_by_batches(spark):
+    from strandweave.functions import nt
+
+    rows = spark.createDataFrame([(0, "0110"), (1, "1"), (2, ""), (3, None), (4, "10" * 50 + "0")], "i int, bits string")
+    got = rows.select("i", nt.alternating(F.col("bits")).alias("dna"))
+    assert dict(map(tuple, got.collect())) == {0: "TAGC", 1: "G", 2: "", 3: None, 4: "GC" * 50 + "T"}
+    assert "replace(" not in got._jdf.queryExecution().optimizedPlan().toString(), "a pass for each digit"
