@@ -396,17 +396,18 @@ def roundtrip_wukong(spark, d):
     return back.select("payload_id", F.md5("content").alias("bytes_md5"), "n_lost")
 
 
-def _gc_blocks(spark, d):
-    return gcplus.encode(talks(spark, d))
+def _gc_blocks(spark, d, *keep):
+    """The file is small and guessing is work, so turns are dealt."""
+    return gcplus.encode(dealt(talks(spark, d), "payload_id"), *keep)
 
 
-def _gc_damaged(spark, d):
+def _gc_damaged(spark, d, *keep):
     """Strands that have lost, gained or changed one base of their payload part, by hash."""
     h = F.xxhash64("payload_id", "strand_idx")
     at = (F.pmod(h, F.lit(90)) + 1).cast("int")
     kind = F.pmod(F.shiftright(h, 20), F.lit(3))
     other = F.translate(F.substring(F.col("dna"), at, F.lit(1)), "ACGT", "CGTA")
-    return _gc_blocks(spark, d).withColumn("dna", F.overlay("dna", F.when(kind == 0, "").otherwise(other), at, F.when(kind == 1, 0).otherwise(1)))
+    return _gc_blocks(spark, d, *keep).withColumn("dna", F.overlay("dna", F.when(kind == 0, "").otherwise(other), at, F.when(kind == 1, 0).otherwise(1)))
 
 
 @query("""SELECT conv_id * 1000 + turn AS payload_id, md5(text) AS bytes_md5, true AS ok FROM conversations WHERE text <> ''""")
@@ -876,14 +877,12 @@ def compare_status(spark, d):
 @query()
 def fer_gcplus(spark, d):
     """Frame error rates of the guess-and-check code at three indel rates, on all blocks of the conversations."""
-    blocks = _gc_blocks(spark, d).withColumn("copy_no", F.lit(0))
-    original = gcplus.decode(blocks).select("payload_id", "strand_idx", F.col("block").alias("want"))
+    blocks = _gc_blocks(spark, d, "block").withColumnRenamed("block", "want").withColumn("copy_no", F.lit(0))
 
     def one(p: dict) -> DataFrame:
         hit = channels.channel_indel(blocks, p["rate"] / 3, p["rate"] / 3, p["rate"] / 3, 41).withColumn("dna", F.col("mutated.seq")).drop("mutated")
-        got = gcplus.decode(hit).join(original, ["payload_id", "strand_idx"])
         right = F.col("block") == F.col("want")
-        return got.select((F.col("ok") & right).alias("ok"), (F.col("ok") & ~right).alias("undetected"))
+        return gcplus.decode(hit, "want").select((F.col("ok") & right).alias("ok"), (F.col("ok") & ~right).alias("undetected"))
 
     return experiments.fer(experiments.run_sweep([{"rate": r} for r in (0.001, 0.01, 0.03)], one), "p_rate")
 

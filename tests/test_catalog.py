@@ -127,3 +127,18 @@ def test_guess_and_check_queries_are_whole(spark, tmp_path):
     assert len(back) == 12 and all(r["ok"] for r in back)
     rates = catalog.queries()["fer_gcplus"](spark, d).collect()
     assert len(rates) == 3 and all(r["n"] == blocks for r in rates)
+
+
+def _turns(spark, d):
+    """Few turns, of which two hold the same text."""
+    rows = [(1, 0, "user", "a b" * 20), (1, 1, "user", "a b" * 20), (2, 0, "user", "é" * 30), (2, 1, "user", ""), (3, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+
+
+def test_frame_errors_decode_once(spark, tmp_path):
+    """Strands are dealt, made, changed and decoded once a rate, and not joined with what decoding gives without errors."""
+    _turns(spark, tmp_path)
+    rates = catalog.queries()["fer_gcplus"](spark, str(tmp_path))
+    plan = rates._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 9 and plan.count("REPARTITION_BY_NUM") == 3 and "Join" not in plan
+    assert all(r["n"] == 10 and abs(r["success"] + r["failed"] + r["undetected"] - 1) < 1e-9 for r in rates.collect())

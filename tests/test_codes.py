@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandweave.ecc import fountain
-from strandweave.ecc.reed_solomon import Code, protect, restore
+from strandweave.ecc.reed_solomon import Code, code, protect, restore
 from strandweave.functions import kernels
 from strandweave.operators import channels, gcplus, mesa, reads, word_ecc, wukong
 from strandweave.plans import codec_plan
@@ -81,6 +81,40 @@ def test_guess_and_check_repairs_two_blocks():
     assert right >= 54
 
 
+def test_guess_and_check_by_batches():
+    """A batch gives what its strands give alone; the guess is the first of the fewest edits among all patterns, tried one by one."""
+    r, f, n = random.Random(4), code(gcplus.FREE + 1), gcplus.SYMBOLS + gcplus.FREE
+    strands = ["", "ACGTN" * 21, "A" * 99, "G" * 104]
+    for _ in range(60):
+        s = gcplus.encode_block(bytes(r.randrange(256) for _ in range(21)))
+        for _ in range(r.randrange(4)):
+            p = r.randrange(len(s))
+            s = r.choice((s[:p] + s[p + 1 :], s[:p] + r.choice("ACGT") + s[p:], s[:p] + r.choice("ACGT") + s[p + 1 :]))
+        strands.append(s)
+    out, ok = gcplus.decode_rows(*kernels.flat(pa.array(strands))[:2])
+    assert [(b.tobytes(), bool(k)) for b, k in zip(out, ok, strict=True)] == [gcplus.decode_block(s) for s in strands]
+    letters = np.frombuffer("".join(gcplus.codebook()).encode(), np.uint8).reshape(256, -1)
+    for s in strands[4:24]:
+        shift = len(s) - gcplus.LENGTH
+        if s[-gcplus.CHECK_NT :] not in gcplus.codebook() or abs(shift) >= gcplus.LIMIT:
+            continue
+        check, best = gcplus.codebook().index(s[-gcplus.CHECK_NT :]), None
+        for pattern in gcplus.patterns(shift, int(abs(shift) <= 1)) if shift else [{i: 0} for i in range(n)] + list(gcplus.patterns(0, 1))[1:]:
+            ends = np.cumsum([gcplus.PER + pattern.get(i, 0) for i in range(n)]).tolist()
+            cut = [s[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            word = np.array([0 if i in pattern else int(gcplus._symbols(x)[0]) for i, x in enumerate(cut)] + [check])
+            fixed = f.correct(word, sorted(pattern))
+            if fixed is not None and all(i in pattern or fixed[i] == word[i] for i in range(n + 1)):
+                cost = sum(int(gcplus.edit_distances(cut[i], np.frombuffer(gcplus._nt(fixed[i : i + 1]).encode(), np.uint8)[None, :])[0]) for i in pattern)
+                # Without a shift one changed symbol goes before pairs of blocks.
+                rank = (0 if not shift and len(pattern) == 1 else cost, fixed[: gcplus.SYMBOLS].astype(np.uint8).tobytes())
+                best = rank if best is None or rank[0] < best[0] else best
+        assert gcplus.decode_block(s) == ((bytes(21), False) if best is None else (best[1], True))
+    word = np.random.default_rng(1).integers(0, 4, (30, 16)).astype(np.uint8)
+    for free in (False, True):
+        assert [gcplus.edit_distances("".join(gcplus.ORDER[b] for b in w), letters, free).tolist() for w in word] == gcplus._distances(word, gcplus._book()[0], free).tolist()
+
+
 def test_paired_segments():
     r = random.Random(3)
     for _ in range(20):
