@@ -1,5 +1,6 @@
 """Every catalog query with an SQL twin agrees with DuckDB on the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -142,3 +143,13 @@ def test_frame_errors_decode_once(spark, tmp_path):
     plan = rates._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 9 and plan.count("REPARTITION_BY_NUM") == 3 and "Join" not in plan
     assert all(r["n"] == 10 and abs(r["success"] + r["failed"] + r["undetected"] - 1) < 1e-9 for r in rates.collect())
+
+
+def test_guess_and_check_meets_once(spark, tmp_path):
+    """Turns are dealt, their blocks meet in one more exchange, and no join brings their sizes."""
+    _turns(spark, tmp_path)
+    back = catalog.queries()["roundtrip_gcplus"](spark, str(tmp_path))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 2 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+    want = {p: hashlib.md5(t.encode()).hexdigest() for p, t in ((1000, "a b" * 20), (1001, "a b" * 20), (2000, "é" * 30), (3000, "x"))}
+    assert {r["payload_id"]: r["bytes_md5"] for r in back.collect() if r["ok"]} == want
