@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave import catalog
 from strandweave.functions import digests, kernels, rng
-from strandweave.operators import channels
+from strandweave.operators import channels, reads
 
 
 def test_digests_of_many_keys():
@@ -238,3 +238,22 @@ def test_alternating_by_batches(spark):
     got = rows.select("i", nt.alternating(F.col("bits")).alias("dna"))
     assert dict(map(tuple, got.collect())) == {0: "TAGC", 1: "G", 2: "", 3: None, 4: "GC" * 50 + "T"}
     assert "replace(" not in got._jdf.queryExecution().optimizedPlan().toString(), "a pass for each digit"
+
+
+def test_consensus_of_known_groups_makes_reads_once(spark):
+    """With a bound on its groups no group is counted before the vote; the vote is the same."""
+    made = spark.sparkContext.accumulator(0)
+    source = spark.range(60).selectExpr("id % 6 AS payload_id", "substr('ACGTACGT', cast(id % 2 AS int) + 1, 4) AS seq", "id AS ord")
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    seen = source.mapInArrow(count, source.schema)
+    want = {(r["payload_id"], r["seq"], r["n_reads"]) for r in reads.consensus(seen, ["payload_id"]).collect()}
+    assert made.value == 120
+    got = {(r["payload_id"], r["seq"], r["n_reads"]) for r in reads.consensus(seen, ["payload_id"], most=60).collect()}
+    assert made.value == 180 and got == want and len(got) == 6
+    normal = channels.copies(spark.range(3000).selectExpr("id AS payload_id", "0 AS strand_idx", "'A' AS dna"), 10, 1, 51)
+    assert 12 < normal.selectExpr("max(copy_no) + 1").first()[0] <= channels.most_copies(10, 1) == 16
