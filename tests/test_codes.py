@@ -57,6 +57,19 @@ def test_fountain_peels():
     assert fountain.peel(50, symbols[:130], 3) == rows
 
 
+def test_fountain_blocks_share_neighbours(monkeypatch):
+    """Blocks of as many rows draw their neighbours once, whichever symbols are lost."""
+    drawn, draw = [], fountain.neighbours
+    monkeypatch.setattr(fountain, "neighbours", lambda *a: drawn.append(a) or draw(*a))
+    r = random.Random(6)
+    for lost in (3, 3, 5):
+        rows = [r.randbytes(16) for _ in range(37)]
+        symbols = fountain.encode_rows(rows, 37 * 4, 77)
+        assert all(d == np.bitwise_xor.reduce([np.frombuffer(rows[k], np.uint8) for k in draw(37, i, 77)]).tobytes() for i, d in symbols)
+        assert fountain.peel(37, [x for x in symbols if x[0] % 10 != lost], 77) == rows
+    assert len(drawn) == 256
+
+
 def test_guess_and_check_repairs_one_edit():
     assert gcplus.LENGTH == 104 and abs(gcplus.code_rate(parities=8) - 84 / 128) < 1e-9
     r = random.Random(5)
