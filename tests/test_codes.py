@@ -1,5 +1,6 @@
 """Codes and kernels without Spark."""
 
+import pickle
 import random
 
 import numpy as np
@@ -196,6 +197,19 @@ def test_trailers():
                 assert sorted(word_ecc.chosen_rows(word_ecc.trailer(rows, n, b, width), n, b)) == sorted(rows)
 
 
+def test_payloads_of_as_many_words_share_symbols(monkeypatch):
+    """The rows of fountain symbols are drawn and peeled once for each number of words; all words peel."""
+    tried, peel = [], word_ecc.peel
+    monkeypatch.setattr(word_ecc, "peel", lambda n, s: tried.append(n) or peel(n, s))
+    for n in (1, 23, 23, 400, 400):
+        flat, starts, rows = word_ecc._peeling(n, 6 * n, 10, 31)
+        assert np.split(flat, starts[1:])[-1].tolist() == rows[-1] and len(rows) == 6 * n
+        assert len(peel(n, [(r, np.zeros(1, np.uint8)) for r in rows])) == n
+    # Tasks find it by its name, so what it keeps is the worker's.
+    assert pickle.loads(pickle.dumps(word_ecc._peeling)) is word_ecc._peeling
+    assert len(set(tried)) == 3 and tried == sorted(tried) and word_ecc._peeling(23, 138, 10, 31)[2] is word_ecc._peeling(23, 138, 10, 31)[2]
+
+
 def test_votes():
     t = pa.table({"k": pa.array([1, 1, 1, None, None, 2]), "seq": ["ACGT", "ACGA", "TCNAG", "NN", "", "GG"], "ord": pa.array([0, 1, 2, 0, 1, 0])})
     starts = reads._group_starts(t, 1)
