@@ -153,3 +153,11 @@ def test_guess_and_check_meets_once(spark, tmp_path):
     assert plan.count("Exchange hash") == 2 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
     want = {p: hashlib.md5(t.encode()).hexdigest() for p, t in ((1000, "a b" * 20), (1001, "a b" * 20), (2000, "é" * 30), (3000, "x"))}
     assert {r["payload_id"]: r["bytes_md5"] for r in back.collect() if r["ok"]} == want
+
+
+def test_tied_guesses_are_settled(spark, tmp_path):
+    """Strands that are one edit from two codewords, the first of which is wrong: the turn's seal tells."""
+    rows = [(25587, 0, "user", "x" * 21 * 13 + "edti a. Eninor reenti"), (16660, 1, "user", "x" * 21 * 18 + "sch ver das der schke" + "y" * 30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    back = catalog.queries()["roundtrip_gcplus"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in back} == {(c * 1000 + t, hashlib.md5(text.encode()).hexdigest(), True) for c, t, _, text in rows}

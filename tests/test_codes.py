@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,21 @@ def test_guess_and_check_by_batches():
         assert [gcplus.edit_distances("".join(gcplus.ORDER[b] for b in w), letters, free).tolist() for w in word] == gcplus._distances(word, gcplus._book()[0], free).tolist()
 
 
+def test_tied_guesses():
+    """A strand one edit from two codewords gives both; a payload's seal picks, and says so where it can't."""
+    strand = b"TCTTTCTATGTATCCTACAATCATACGCACAATATTTCGCTCCTTCGCTCGGTGACACAATGACTCTTTCTTTCGCTGTATCTTCGGTCTGGGCTGTCCTACT"
+    others: dict = {}
+    out, ok = gcplus.decode_rows(np.frombuffer(strand, np.uint8), np.array([0, len(strand)]), others)
+    assert ok[0] and others == {0: {b"edti a. Eninor reenti"}} and out[0].tobytes() != b"edti a. Eninor reenti"
+    data = bytes(range(63)) + b"tail"
+    whole = (data + zlib.crc32(data).to_bytes(4)).ljust(84, b"\0")
+    hit = lambda i: whole[: 21 * i] + bytes(21) + whole[21 * (i + 1) :]
+    right = lambda i, *more: {"strand_idx": i, "others": b"".join(more) + whole[21 * i : 21 * (i + 1)]}
+    assert gcplus.chosen(hit(1), [right(1, b"z" * 21), {"strand_idx": 2, "others": b"q" * 21}], 67) == data + zlib.crc32(data).to_bytes(4)
+    assert gcplus.chosen(hit(3), [right(3)], 67) == data + zlib.crc32(data).to_bytes(4)
+    assert gcplus.chosen(hit(1), [{"strand_idx": 1, "others": b"z" * 21}], 67) is None
+
+
 def test_paired_segments():
     r = random.Random(3)
     for _ in range(20):
