@@ -161,3 +161,37 @@ def test_tied_guesses_are_settled(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     back = catalog.queries()["roundtrip_gcplus"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in back} == {(c * 1000 + t, hashlib.md5(text.encode()).hexdigest(), True) for c, t, _, text in rows}
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+@pytest.mark.parametrize("ratio", [1.0, 0.8])
+def test_fountains_by_whole_payloads(spark, bits, ratio):
+    """Symbols need no exchange to be made, and are peeled before they cross one; scattered, lost, doubled and spoilt ones give the same contents."""
+    from pyspark.sql import functions as F
+
+    from strandweave.operators import codecs
+    from strandweave.plans import codec_plan
+
+    plan = codec_plan.max_density(200, 14, ratio, (20, 10)) if bits == 2 else codec_plan.no_homopolymer(400, 30, ratio, (40, 20))
+    encode, decode = (codecs.encode_max_density, codecs.decode_max_density) if bits == 2 else (codecs.encode_no_homopolymer, codecs.decode_no_homopolymer)
+    texts = {1: b"x", 2: bytes(range(256)) * 5, 3: b"", 4: None, 5: "é".encode() * 37, 6: bytes(plan.payload_bits // 8 * 3), 7: b"long " * 3000}
+    payload = spark.createDataFrame(list(texts.items()), "payload_id long, content binary")
+    strand = encode(payload, plan, 5.0)
+    want = {i: t for i, t in texts.items() if t}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (strand, decode(strand, plan))]
+    assert "Exchange" not in plans[0] and plans[1].count("Exchange") == 1 and "FlatMapGroups" not in plans[1]
+    strand = strand.localCheckpoint()
+    sizes = {r["payload_id"]: r["count"] for r in strand.groupBy("payload_id").count().collect()}
+    assert sizes == {i: 6 * -(-len(t) * 8 // plan.payload_bits) for i, t in want.items()}
+    assert strand.filter(~F.col("dna").rlike(f"^[ACGT]{{{plan.length}}}$")).isEmpty()
+    lost = strand.filter((F.col("payload_id") < 5) | (F.col("strand_idx") % 7 != 3))
+    # No header tells this number of words; and strands of another length or with other letters don't count.
+    spoilt = strand.filter("strand_idx % 5 = 0").withColumn("dna", F.overlay("dna", F.reverse(F.substring("dna", plan.barcode + 1, plan.lt_header)), F.lit(plan.barcode + 1)))
+    odd = strand.selectExpr("payload_id", "strand_idx", "substring(dna, 2) AS dna").unionByName(strand.selectExpr("payload_id", "strand_idx", "concat('N', substring(dna, 2)) AS dna"))
+    for given in (strand, lost.unionByName(strand.sample(0.3, 3)).repartition(3, F.rand(5)), lost.unionByName(odd).orderBy("strand_idx"), lost.unionByName(spoilt).coalesce(1)):
+        back = {r["payload_id"]: r for r in decode(given, plan).collect()}
+        assert {i: bytes(r["content"]) for i, r in back.items()} == want
+        assert all(r["n_missing"] == r["n_failed"] == 0 and r["n_strands"] * 6 == sizes[i] for i, r in back.items())
+    # With too few symbols a payload is not whole.
+    few = {r["payload_id"]: r for r in decode(strand.filter("payload_id <> 7 or strand_idx < 200"), plan).collect()}
+    assert few[7]["content"] is None and few[7]["n_missing"] > 0 and few[7]["n_strands"] + few[7]["n_missing"] == sizes[7] // 6
