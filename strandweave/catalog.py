@@ -293,7 +293,7 @@ def roundtrip_max_density_lt(spark, d):
 @query(_WHOLE)
 def roundtrip_max_density_rs_lt(spark, d):
     """Parities inside the words of fountain symbols."""
-    return _restored(codecs.decode_max_density(codecs.encode_max_density(documents(spark, d), MAX_BOTH, 5.0), MAX_BOTH))
+    return _restored(codecs.decode_max_density(codecs.encode_max_density(dealt(documents(spark, d), "payload_id"), MAX_BOTH, 5.0), MAX_BOTH))
 
 
 _K = CHURCH["capacity"] - CHURCH["index_bits"]
