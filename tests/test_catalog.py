@@ -195,3 +195,31 @@ def test_fountains_by_whole_payloads(spark, bits, ratio):
     # With too few symbols a payload is not whole.
     few = {r["payload_id"]: r for r in decode(strand.filter("payload_id <> 7 or strand_idx < 200"), plan).collect()}
     assert few[7]["content"] is None and few[7]["n_missing"] > 0 and few[7]["n_strands"] + few[7]["n_missing"] == sizes[7] // 6
+
+
+def test_noisy_reads_are_made_once(spark):
+    """Sequences are those of the channel, made once though a filter looks at them; consensus counts equal reads before one exchange and votes as by rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandweave.operators import channels, reads
+
+    strand = channels.copies(catalog.customers(spark, DIR).drop("copy_no"), 4, 1, 5)
+    made = channels.indel_seqs(strand, 0.02, 0.02, 0.03, 7).filter(F.char_length("seq") == 72)
+    # The names' bases are the other.
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    key = ["payload_id", "copy_no", "seq"]
+    want = channels.channel_indel(strand, 0.02, 0.02, 0.03, 7).withColumn("seq", F.col("mutated.seq")).filter(F.char_length("seq") == 72)
+    assert sorted(map(tuple, made.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+    r = random.Random(3)
+    rows = [(r.choice((1, 2, None)), r.choice("ab"), "".join(r.choices("ACGTN", k=r.choice((3, 4)))) if r.random() < 0.9 else None, i) for i in range(400)]
+    given = spark.createDataFrame(rows, "p long, q string, seq string, ord long").repartition(3)
+    called = reads.consensus(given, ["p", "q"], most=400)
+    assert called._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # one is the test's own
+    votes: dict = {}
+    for p, q, seq, _ in rows:
+        votes.setdefault((p, q), []).append(seq or "")
+    best = lambda col: max("ACGT", key=lambda b: (col.count(b), -col.index(b) if b in col else -len(col)))
+    rule = {k: ("".join((lambda c: best(c) if set(c) & set("ACGT") else "A")([s[i] for s in v if len(s) > i]) for i in range(max(map(len, v)))), len(v)) for k, v in votes.items()}
+    assert {(x["p"], x["q"]): (x["seq"], x["n_reads"]) for x in called.collect()} == rule
